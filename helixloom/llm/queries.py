@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_shingle_join(spark, sf_dir):
+    from . import shingle_join
+
+    return shingle_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers as tokenizers
 
@@ -54,5 +60,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_quality_rules, op5_token_files, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op3_byte_bpe, op4_quality_rules, op5_token_files, op9_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -45,6 +45,13 @@ def op5_token_files(spark, sf_dir):
     return tokenfiles.read(spark, folder, listing)
 
 
+def op6_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_substring_dedup(spark, sf_dir):
     from . import substrings
 
@@ -66,5 +73,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op3_byte_bpe, op4_quality_rules, op5_token_files, op7_substring_dedup, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op3_byte_bpe, op4_quality_rules, op5_token_files, op6_toxicity, op7_substring_dedup, op9_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,8 +5,8 @@ text, final stops) gives a node potential; each parent and child share a pair po
 article is likely content and what stands in a menu isn't. Messages pass once from the leaves up and once back down
 (sum-product); they give every node's exact marginal, and text of nodes above one half is the main text.
 
-Potentials are the smoothed log-odds and transition counts of labelled pages (``TRAINING_PAGES``, written here), so
-training is a count; it's done again wherever it's needed, in a few milliseconds.
+Potentials are fitted to labelled pages (``TRAINING_PAGES``, written here) by conditional likelihood; that takes a
+second or two and is done by each worker that needs them, with the same result.
 """
 
 from __future__ import annotations
@@ -37,15 +37,19 @@ NAME_KINDS = {
 }
 _KIND_OF = {word: kind for kind, words in NAME_KINDS.items() for word in words}
 _WORD = re.compile(r"[a-z]+(?:-ad)?")
+SECTIONS = frozenset("article main aside nav footer header section form".split())
 #: Elements that never hold main text, whatever the model says.
 NEVER = RAW | frozenset("head form select button input option nav aside footer object embed canvas audio video dialog".split())
 
 
+def _kinds(node: Node) -> list[str]:
+    return sorted({_KIND_OF[w] for w in _WORD.findall(node.names) if w in _KIND_OF}) if node.names else []
+
+
 def _features(node: Node) -> list[str]:
-    own, links, length = node.data
-    out = [f"tag={node.tag}"]
-    kinds = {_KIND_OF[w] for w in _WORD.findall(node.names) if w in _KIND_OF}
-    out += [f"name={k}" for k in kinds]
+    own, links, length, under = node.data
+    out = [f"tag={node.tag}", f"under={under}"]
+    out += [f"name={k}" for k in _kinds(node)]
     out.append(f"length={min(6, int(math.log2(1 + length) / 2))}")
     if length:
         out.append(f"links={min(3, int(4 * links / length))}")
@@ -55,7 +59,7 @@ def _features(node: Node) -> list[str]:
 
 def block_nodes(root: Node) -> list[Node]:
     """Block elements in page order, parents before children. Each one's data: its own text (with that of inline
-    elements in it), the characters of that in links, and its length."""
+    elements in it), the characters of that in links, its length, and the section or kind of name it stands under."""
     order: list[Node] = []
     stack = [root]
     while stack:
@@ -66,7 +70,13 @@ def block_nodes(root: Node) -> list[Node]:
     for node in order:
         own, links = ([], 0) if node.tag in RAW else _own(node)
         text = tidy("".join(own))
-        node.data = (text, links, len(text))
+        up, kinds = parent_block(node), _kinds(node)
+        under = node.tag if node.tag in SECTIONS else up.data[3] if up is not None else "page"
+        if kinds and kinds != ["content"]:
+            under = next(k for k in kinds if k != "content")
+        elif kinds and under in ("page", *SECTIONS):
+            under = "content"
+        node.data = (text, links, len(text), under)
     return order
 
 
@@ -113,13 +123,21 @@ def parent_block(node: Node) -> Node | None:
     return up
 
 
+EPOCHS = 40
+RATE = 0.3
+PULL = 0.02
+
+
 class Model:
-    """Log-potentials: of a node's features for content against not, and of a child's state given its parent's."""
+    """Log-potentials: of a node's features for content against not, and of a child's state given its parent's.
 
-    def __init__(self, pages: list[str], smooth: float = 0.5):
-        seen = [Counter(), Counter()]
-        moves = [[smooth, smooth], [smooth, smooth]]
-        total = [0, 0]
+    Fitted by gradient ascent on the conditional likelihood of labelled pages: counts seen less counts expected, which
+    the messages give."""
+
+    def __init__(self, pages: list[str]):
+        self.weight: dict[str, float] = {}
+        self.pair = [[0.0, -1.0], [-1.0, 0.0]]
+        labelled = []
         for html in pages:
             order = block_nodes(parse(html))
             state: dict[int, int] = {}
@@ -128,23 +146,44 @@ class Model:
                 mark = re.search(r"\blabel-(yes|no)\b", node.names)
                 state[id(node)] = int(mark[1] == "yes") if mark else (state[id(up)] if up is not None else 0)
                 node.names = re.sub(r"\blabel-(yes|no)\b", "", node.names)
-                total[state[id(node)]] += 1
-                seen[state[id(node)]].update(_features(node))
-                if up is not None:
-                    moves[state[id(up)]][state[id(node)]] += 1
-        self.weight = {}
-        for f in set(seen[0]) | set(seen[1]):
-            p1 = (seen[1][f] + smooth) / (total[1] + 2 * smooth)
-            p0 = (seen[0][f] + smooth) / (total[0] + 2 * smooth)
-            self.weight[f] = math.log(p1 / p0)
-        self.pair = [[math.log(x / sum(row)) for x in row] for row in moves]
+            labelled.append((order, [state[id(n)] for n in order], [_features(n) for n in order]))
+        size: Counter = Counter()
+        pair_size = 1e-6
+        for _ in range(EPOCHS):
+            slope: Counter = Counter()
+            moves = [[0.0, 0.0], [0.0, 0.0]]
+            for order, states, features in labelled:
+                place = {id(n): k for k, n in enumerate(order)}
+                expected, edges = self.beliefs(order, features)
+                for y, p, f in zip(states, expected, features, strict=True):
+                    if abs(y - p) > 1e-4:
+                        for x in f:
+                            slope[x] += y - p
+                for k in range(1, len(order)):
+                    up = place[id(parent_block(order[k]))]
+                    moves[states[up]][states[k]] += 1
+                    for i in (0, 1):
+                        for j in (0, 1):
+                            moves[i][j] -= edges[k][2 * i + j]
+            for x, g in slope.items():
+                g -= PULL * self.weight.get(x, 0.0)
+                size[x] += g * g
+                self.weight[x] = self.weight.get(x, 0.0) + RATE * g / math.sqrt(size[x] + 1e-6)
+            pair_size += max(abs(v) for row in moves for v in row) ** 2
+            for i in (0, 1):
+                for j in (0, 1):
+                    self.pair[i][j] += RATE * moves[i][j] / math.sqrt(pair_size)
 
     def marginals(self, order: list[Node]) -> list[float]:
-        """P(content) of each node, by messages up then down; ``order`` has parents first."""
+        """P(content) of each node; ``order`` has parents first."""
+        return self.beliefs(order, [_features(n) for n in order])[0]
+
+    def beliefs(self, order: list[Node], features: list[list[str]]) -> tuple[list[float], list[tuple]]:
+        """Marginals of nodes, and of each node's parent and itself, by messages up, then down."""
         place = {id(n): k for k, n in enumerate(order)}
         up = [place[id(p)] if (p := parent_block(n)) is not None else -1 for n in order]
         weight, (stay0, go1), (go0, stay1) = self.weight, self.pair[0], self.pair[1]
-        own0, own1 = [0.0] * len(order), [sum(weight.get(f, 0.0) for f in _features(n)) for n in order]
+        own0, own1 = [0.0] * len(order), [sum(weight.get(x, 0.0) for x in f) for f in features]
         sent = [(0.0, 0.0)] * len(order)
         for k in range(len(order) - 1, 0, -1):  # children come after their parents
             a = _log_add(own0[k] + stay0, own1[k] + go1)
@@ -152,20 +191,25 @@ class Model:
             sent[k] = (a, b)
             own0[up[k]] += a
             own1[up[k]] += b
-        out = [0.0] * len(order)
+        out, edges = [0.0] * len(order), [()] * len(order)
         belief = [(0.0, 0.0)] * len(order)
         for k in range(len(order)):
             b0, b1 = own0[k], own1[k]
             if k:
                 r0, r1 = belief[up[k]]
                 r0, r1 = r0 - sent[k][0], r1 - sent[k][1]  # the parent's belief without this child's message
+                joint = (r0 + stay0 + b0, r0 + go1 + b1, r1 + go0 + b0, r1 + stay1 + b1)
+                top = max(joint)
+                joint = [math.exp(x - top) for x in joint]
+                all_ = sum(joint)
+                edges[k] = tuple(x / all_ for x in joint)
                 b0 += _log_add(r0 + stay0, r1 + go0)
                 b1 += _log_add(r0 + go1, r1 + stay1)
             top = max(b0, b1)
             b0, b1 = b0 - top, b1 - top
             belief[k] = (b0, b1)
             out[k] = math.exp(b1) / (math.exp(b0) + math.exp(b1))
-        return out
+        return out, edges
 
 
 def _log_add(a: float, b: float) -> float:
@@ -215,13 +259,21 @@ def extract(html: str | None) -> str:
     chosen: dict[int, bool] = {}
     for node, p in zip(order, model().marginals(order), strict=True):
         up = parent_block(node)
-        barred = node.tag in NEVER or (up is not None and chosen[id(up)] is None)
+        barred = node.tag in NEVER or (up is not None and chosen[id(up)] is None) or (node.tag == "header" and not _within(node))
         chosen[id(node)] = None if barred else p > 0.5  # below a barred node nothing is main text
     out: list[str] = []
     _emit(order[0], chosen, out)
     return "\n".join(out)
 
 
+def _within(node: Node) -> bool:
+    """Whether a header is that of an article, not of the page."""
+    while (node := node.parent) is not None:
+        if node.tag in ("article", "main"):
+            return True
+    return False
+
+
 def _emit(root: Node, chosen: dict[int, bool | None], out: list[str]) -> None:
     """Blocks in page order. Text between block children of a chosen node is a block of its own."""
     words: list[str] = []

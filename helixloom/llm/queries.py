@@ -58,6 +58,12 @@ def op7_substring_dedup(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark, sf_dir):
+    from . import htmltext
+
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     import public_tokenizers as tokenizers
 
@@ -73,5 +79,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op3_byte_bpe, op4_quality_rules, op5_token_files, op6_toxicity, op7_substring_dedup, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op3_byte_bpe, op4_quality_rules, op5_token_files, op6_toxicity, op7_substring_dedup, op8_html_text, op9_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,16 +1,52 @@
-"""The corpus pipeline: quality rules, near copies, benchmark passages, personal data, token ids."""
+"""The corpus pipeline: quality rules, near copies, benchmark passages, personal data, token ids.
+
+Each stage reads all that its predecessor kept, and its decisions take effect: rejected documents go, one of each group
+of near copies stays, documents with a benchmark passage go, personal data is redacted. The last stage returns the
+kept documents' ids as tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: Models and token ids can't be expressed in SQL.
+from helixloom.llm import bytebpe, decontam, pii, quality, shared, shingle_join
+from helixloom.llm.queries import BYTE_BPE
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def shingle_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingle_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_matching(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(docs, tokenizers.path(BYTE_BPE), tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", shingle_copies),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
+#: Robust estimates, components and merges can't be expressed in DuckDB SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)

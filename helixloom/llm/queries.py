@@ -20,6 +20,12 @@ def op1_shingle_join(spark, sf_dir):
     return shingle_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark, sf_dir):
+    from . import pii
+
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers as tokenizers
 
@@ -79,5 +85,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op3_byte_bpe, op4_quality_rules, op5_token_files, op6_toxicity, op7_substring_dedup, op8_html_text, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_personal_data, op3_byte_bpe, op4_quality_rules, op5_token_files, op6_toxicity, op7_substring_dedup, op8_html_text, op9_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

@@ -80,7 +80,7 @@ def trait_detail(full: DataFrame, trait: str) -> DataFrame:
     order = Window.partitionBy("sample_id").orderBy(F.desc_nulls_last("odds_ratio"), "row_id")
     rows = full.filter(F.col("trait") == trait)
     colour = F.when(n == 2, "red").when(n == 1, "yellow").otherwise("none")
-    return rows.select("sample_id", "rsid", "gene", "personal_genotype", "risk_allele", "odds_ratio", "risk_allele_frequency", "confidence_interval", "pmid", "risk_status_category", colour.alias("colour"), F.row_number().over(order).alias("position_in_list"))
+    return rows.select("sample_id", "rsid", "gene", "personal_genotype", "risk_allele", "odds_ratio", "risk_allele_frequency", "confidence_interval", "pmid", "risk_status_category", colour.alias("colour"), F.row_number().over(order).cast("long").alias("position_in_list"))
 
 
 def sports_table(spark: SparkSession) -> DataFrame:
@@ -100,7 +100,7 @@ def popular_snps(calls: DataFrame) -> DataFrame:
     table = calls.sparkSession.createDataFrame(ref.POPULAR_SNPS, "rsid string, description string, effect_allele string")
     n = expr.occurrences("genotype", "effect_allele")
     colour = F.when(n == 2, "green").when(n == 1, "yellow").when(n == 0, "red").otherwise("none")
-    return renamed.join(table, "rsid").select("sample_id", "rsid", "description", "effect_allele", "genotype", n.alias("occurrences"), colour.alias("colour"))
+    return renamed.join(table, "rsid").select("sample_id", "rsid", "description", "effect_allele", "genotype", n.cast("long").alias("occurrences"), colour.alias("colour"))
 
 
 def cvd_split(full: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def rare_genotypes(rare: DataFrame, parity: bool = False) -> DataFrame:
     percent = F.col("genotype_probability") * 100
     key = F.format_string("%.5f%%", percent) if parity else percent
     order = Window.partitionBy("sample_id").orderBy(key.asc_nulls_last(), "block", "rank")
-    return one.select("sample_id", "rsid", "gene", "category", "personal_genotype", percent.alias("percent"), F.row_number().over(order).alias("position_in_list"))
+    return one.select("sample_id", "rsid", "gene", "category", "personal_genotype", percent.alias("percent"), F.row_number().over(order).cast("long").alias("position_in_list"))
 
 
 def rare_mutations(rare: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def rare_mutations(rare: DataFrame) -> DataFrame:
 def trait_choices(prs: DataFrame) -> DataFrame:
     rows = prs.filter("is_or").join(_blocked(prs.sparkSession), "trait", "left_anti")
     order = Window.partitionBy("sample_id").orderBy(F.round("percentile", 4), "trait")
-    return rows.select("sample_id", "trait", F.row_number().over(order).alias("place"))
+    return rows.select("sample_id", "trait", F.row_number().over(order).cast("long").alias("place"))
 
 
 def status_share(full: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ n_exceptions u16, places u16[], high bits u32[], packed values.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +32,13 @@ BLOCK = 1024
 WIDTH_SHARE = 0.9
 #: A file is closed when it holds so many ids.
 FILE_IDS = 16_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Words of Latin letters that have no other normal form and lower to one letter each.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+MARKS = b".,!?;:%#$*&"
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -107,29 +115,46 @@ class WordEncoder:
     """Encodes texts by the tokenizer file, each distinct word once while it is remembered.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of its words. A
-    final run of full stops or commas after an ASCII letter is a piece of its own, so it is remembered apart.
+    final run of MARKS after a letter is a piece of its own, so it is remembered apart.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.path, self.limit, self.known = path, cache_words, {}
 
     def _fill(self, words: list[bytes]) -> None:
-        stems: dict[bytes, bytes] = {}
-        ends: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            stem = w.rstrip(b".,")
-            if stem != w and stem and (stem[-1:].isalpha()):
-                ends[w] = (stem, w[len(stem) :])
-            else:
-                stems[w] = w
-        wanted = list({p for pair in ends.values() for p in pair if p not in self.known} | stems.keys())
-        for w, e in zip(wanted, _tokenizer(self.path).encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, end) in ends.items():
-            self.known[w] = self.known[stem] + self.known[end]
+        """Learns words: a plain word and the marks that end it are pieces, and normalising only lowers them, so they go
+        straight to the library's merges; any other word goes through the library's whole encoding."""
+        known, model, rest = self.known, _tokenizer(self.path).model.tokenize, []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            found = known.get(stem)
+            if found is None:
+                text = stem.decode()
+                if not PLAIN.fullmatch(text):
+                    rest.append(word)
+                    continue
+                text = text.lower()
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(BYTE_CHARS)
+                found = array("I", [t.id for t in model(text)]).tobytes()
+                known[stem] = found
+            elif stem != word and not PLAIN.fullmatch(stem.decode()):
+                rest.append(word)
+                continue
+            if stem != word:
+                end = word[len(stem) :]
+                marks = known.get(end)
+                if marks is None:
+                    marks = known[end] = array("I", [t.id for t in model(end.decode())]).tobytes()
+                known[word] = found + marks
+        if rest:
+            for word, e in zip(rest, _tokenizer(self.path).encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+                known[word] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
+        raw = [t.encode() for t in texts]
+        # normalising lowers letters, but the strings of special tokens are found before that
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
         wanted = set().union(*split)
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > self.limit:

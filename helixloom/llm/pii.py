@@ -35,15 +35,15 @@ PATTERNS = {
 #: A substring that every match has, to leave texts without it alone.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Candidate generators: spans that a looser reading takes for the kind.
+#: Candidate generators: spans that a looser reading takes for the kind, and the base pattern doesn't.
 GENERATORS = {
     "email": r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Z0-9-]{2,63}+){1,4}+",
-    "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z.])[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}[. /][0-9]{1,7}(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}\[?\.\]?[0-9]{1,3}\[?\.\]?[0-9]{1,3}\[?\.\]?[0-9]{1,3}(?![0-9.])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[ .-]{1,2})(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "card": r"(?<![0-9A-Za-z.])(?=[0-9 ]{4,16}[./])[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}[. /][0-9]{1,7}(?![0-9A-Za-z])",
+    "ip": r"(?<![0-9.])(?=[0-9.]{1,11}\[)[0-9]{1,3}\[?\.\]?[0-9]{1,3}\[?\.\]?[0-9]{1,3}\[?\.\]?[0-9]{1,3}(?![0-9.])",
 }
 #: What a text must hold for the generator to run on it.
-GENERATOR_NEEDS = {"email": r"(?i)\(at\)|\[at\]| at [a-z0-9-]+(?: ?\(dot\)| ?\[dot\]| dot |\.[a-z0-9])", "phone": r"[0-9]{3}[ .-][0-9]{4}", "card": r"[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}", "ip": r"[0-9]\[\.\]|[0-9]\.[0-9]+\.[0-9]"}
+GENERATOR_NEEDS = {"email": r"(?i)\(at\)|\[at\]| at [a-z0-9-]+(?: ?\(dot\)| ?\[dot\]| dot |\.[a-z0-9])", "phone": r"[0-9]{3}[ .-][0-9]{4}", "card": r"[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}", "ip": r"[0-9]\[\.\]"}
 
 #: Characters before a candidate, and after the one before it, that are its context.
 CONTEXT = 40

@@ -2,7 +2,9 @@
 
 1. Base spans: the leftmost matches of four patterns, kept if their check passes (parts at most 255, Luhn, digits).
 2. Generators of high recall propose more spans, which may overlap: email addresses written with "at" and "dot",
-   phone numbers without a plus, cards with dots, addresses in brackets.
+   phone numbers without a plus, cards with dots, addresses in brackets, and of digit runs that a base pattern takes
+   whole and whose check then fails, the parts of a card's or a phone's length. A proposed span must pass the check of
+   its kind without its disguise, and not lie in a base span that passed.
 3. Boosted trees score candidates by format and context. They learn from the base kinds themselves: a candidate of
    the loose patterns is an example of its kind if the strict check holds, and of nothing if it fails. The features are
    binary, so all documents' candidates sum up to a table of at most ``2 ** N_FEATURES`` cells a kind, whatever the
@@ -35,16 +37,28 @@ PATTERNS = {
 #: A substring that every match has, to leave texts without it alone.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Candidate generators: spans that a looser reading takes for the kind, and the base pattern doesn't.
+#: Candidate generators: spans that a looser reading takes for the kind. What lies in a base span that passed is dropped.
 GENERATORS = {
     "email": r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Z0-9-]{2,63}+){1,4}+",
-    "phone": r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[ .-]{1,2})(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z.])(?=[0-9 ]{4,16}[./])[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}[. /][0-9]{1,7}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]{0,2})?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "card": r"(?<![0-9A-Za-z.])[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}[. /][0-9]{1,7}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?=[0-9.]{1,11}\[)[0-9]{1,3}\[?\.\]?[0-9]{1,3}\[?\.\]?[0-9]{1,3}\[?\.\]?[0-9]{1,3}(?![0-9.])",
 }
 #: What a text must hold for the generator to run on it.
 GENERATOR_NEEDS = {"email": r"(?i)\(at\)|\[at\]| at [a-z0-9-]+(?: ?\(dot\)| ?\[dot\]| dot |\.[a-z0-9])", "phone": r"[0-9]{3}[ .-][0-9]{4}", "card": r"[0-9]{4}[. /][0-9]{4}[. /][0-9]{4}", "ip": r"[0-9]\[\.\]"}
 
+#: Runs in which shorter candidates of a kind may begin: the match is where the next search begins, its group what may be
+#: a candidate, up to one digit more than the kind has.
+RUNS = {
+    "card": r"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){11,19}))[0-9]++",
+    "phone": r"(?=(\+[0-9](?:[ ().-]*[0-9]){8,15}))\+[0-9][ ().0-9-]+[0-9]",
+}
+#: The candidates of so many digits at the head of a run; none ends within a group of digits.
+HEADS = {
+    "card": [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(12, 20)],
+    "phone": [rf"^\+[0-9](?:[ ().-]*[0-9]){{{n - 1}}}(?![0-9])" for n in range(9, 16)],
+}
+
 #: Characters before a candidate, and after the one before it, that are its context.
 CONTEXT = 40
 
@@ -110,25 +124,27 @@ def _passes(kind: str, value: Column) -> Column:
 
 _BLOCK = 128
 _FOUND = "array<struct<start: bigint, end: bigint, value: string, before: string>>"
-_NONE = "array<struct<gap: bigint, before: string, value: string>>"
+_NONE = "array<struct<gap: bigint, before: string, value: string, size: int>>"
 
 
-def _located(rows: DataFrame, pattern: str, needs: Column, out: str) -> DataFrame:
-    """Adds ``out``, an array of (start, end, value, before) of the pattern's matches in ``text``.
+def _located(rows: DataFrame, pattern: str, needs: Column, out: str, group: int = 0) -> DataFrame:
+    """Adds ``out``, an array of (start, end, value, before) of the pattern's matches in ``text``, or of a group that
+    begins where the match does.
 
     The lengths of matches and of what stands between add up to positions. They're summed by blocks, then over blocks,
     so a text of very many matches takes time in proportion to it.
     """
-    values = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    sized = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(v.alias("value"), F.length(v).alias("size")))
+    values = sized if not group else F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), sized, lambda v, s: F.struct(v.alias("value"), s["size"].alias("size")))
     gaps = F.transform(F.split("text", pattern, -1), lambda g: F.struct(F.length(g).cast("long").alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before")))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g["gap"].alias("gap"), g["before"].alias("before"), v.alias("value")))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g["gap"].alias("gap"), g["before"].alias("before"), v["value"].alias("value"), v["size"].alias("size")))
     rows = rows.withColumn("pairs__", F.when(needs, pairs).otherwise(F.array().cast(_NONE)))
 
     def step(state, m):
         low = state["at"] + m["gap"]
         high = low + F.length(m["value"])
         one = F.struct(low.alias("start"), high.alias("end"), m["value"].alias("value"), m["before"].alias("before"))
-        return F.struct(high.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+        return F.struct((low + m["size"]).alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
     def block(k):
         return F.aggregate(F.slice("pairs__", k * _BLOCK + 1, F.lit(_BLOCK)), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_FOUND).alias("found")), step)
@@ -176,6 +192,32 @@ def _proposed(rows: DataFrame) -> DataFrame:
         needs = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("text").rlike("[0-9](?:[ -]?[0-9]){11}")
         rows = _located(rows, PATTERNS[kind], needs, f"base_{kind}")
         rows = _located(rows, GENERATORS[kind], F.col("text").rlike(GENERATOR_NEEDS[kind]), f"more_{kind}")
+        if kind in RUNS:
+            rows = _located(rows, RUNS[kind], needs, f"runs_{kind}", 1)
+
+    def passed(kind: str):
+        return F.filter(f"base_{kind}", lambda b: _passes(kind, b["value"]))
+
+    def heads(kind: str):
+        """The shorter candidates at the heads of runs."""
+
+        def of(m):
+            found = F.filter(F.array(*[F.regexp_extract(m["value"], p, 0) for p in HEADS[kind]]), lambda v: v != "")
+            return F.transform(found, lambda v: F.struct(m["start"].alias("start"), (m["start"] + F.length(v)).alias("end"), v.alias("value"), m["before"].alias("before")))
+
+        return F.flatten(F.transform(f"runs_{kind}", of))
+
+    def alone(kind: str):
+        def of(c):
+            inside = F.exists(f"passed_{kind}", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
+            return _passes(kind, _plain(kind, c["value"])) & ~inside
+
+        return of
+
+    for kind in KINDS:
+        rows = rows.withColumn(f"passed_{kind}", passed(kind))
+        every = F.concat(f"more_{kind}", heads(kind)) if kind in RUNS else F.col(f"more_{kind}")
+        rows = rows.withColumn(f"more_{kind}", F.array_distinct(F.filter(every, alone(kind))))
 
     def described(kind: str, base: bool):
         def one(m):

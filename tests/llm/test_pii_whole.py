@@ -32,3 +32,16 @@ def test_parts_of_failing_runs_are_proposed(spark):
     # the first lies in a base span that passed, the second stands alone
     assert sorted(x for x in got[4] if x[0] == "phone") == [("phone", "+1 555-123-4567", True), ("phone", "555-123-4567", False)]
     assert {x for x in got[5] if x[0] == "card"} == {("card", "4111.1111.1111.1111", False)}
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.detect(docs).collect()}
+    return [[(k, t[int(a) : int(b)]) for k, a, b in spans[i]] for i, t in enumerate(texts)]
+
+
+def test_small_and_large_tables_alike(spark):
+    text = "call 555-123-4567, 10[.]0[.]0[.]1, card 4111 1111 1111 1111 12/26"
+    want = [("phone", "555-123-4567"), ("ip", "10[.]0[.]0[.]1"), ("card", "4111 1111 1111 1111")]
+    assert found(spark, [text]) == [want]
+    assert found(spark, [text] * 500) == [want] * 500

@@ -31,6 +31,7 @@ SCOPE = frozenset("html body table td th caption article section div main aside
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 SPACES = re.compile(r"[\s\xa0]+")
 
 
@@ -60,7 +61,7 @@ def _names(attributes: str) -> str:
 
 def parse(html: str) -> Node:
     root = Node("#root")
-    now, at, low = root, 0, None
+    now, at = root, 0
     while True:
         m = TOKEN.search(html, at)
         if m is None:
@@ -104,12 +105,11 @@ def parse(html: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            if low is None:
-                low = html.lower()
-            end = low.find(f"</{tag}", at)
-            if end < 0:
+            found = RAW_END[tag].search(html, at)  # in the page itself: its lower case may be longer
+            if found is None:
                 at = len(html)
             else:
+                end = found.start()
                 node.items.append(html[at:end])
                 close = html.find(">", end)
                 at = len(html) if close < 0 else close + 1

@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; only its label is known. A sentence's probability is a logistic of the weights of its
-distinct words and word beginnings, hashed; the document's is the noisy-or of those of its sentences, so a toxic
-document needs one toxic sentence, and the sentences that make it so can be named. Weights are learnt from at most
+distinct words and word beginnings, hashed; a sentence with no learnt feature has none. The document's is the noisy-or of
+those of its sentences, so a toxic document needs one toxic sentence, not many plain ones, and the sentences that make
+it so can be named. Weights are learnt from at most
 ``TRAIN_PER_CLASS`` labelled documents of each class, chosen by a hash of the id, in one task of bounded memory; then
 every document is scored.
 """
@@ -19,8 +20,6 @@ from . import blocks, shared
 
 #: Labelled documents of each class that are learnt from, at most.
 TRAIN_PER_CLASS = 3000
-#: A labelled document with more characters than this isn't learnt from (scoring has no such bound).
-TRAIN_CHARS = 20_000
 BITS = 20
 #: Bytes of word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5)
@@ -81,6 +80,13 @@ def _noisy_or(logits: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc, -np.logaddexp(0, logits), n_docs)
 
 
+def _logits(pairs: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Of n sentences, from their distinct (sentence, feature) codes; minus infinity where no feature is learnt."""
+    at, w = pairs >> BITS, weights[pairs & (1 << BITS) - 1]
+    known = np.bincount(at, w != 0, n) > 0
+    return np.where(known, np.bincount(at, w, n) + weights[-1], -np.inf)
+
+
 def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
     """Whether each feature is commoner in toxic documents than chance explains, by a likelihood-ratio test."""
     n = toxic + clean
@@ -118,6 +124,9 @@ def train(texts: list[str], labels: np.ndarray) -> np.ndarray:
     known = at < len(used)
     known[known] = used[at[known]] == f[known]
     f, s = at[known], s[known]
+    # sentences without a learnt feature are of probability 0, and out of the sums
+    with_one, s = np.unique(s, return_inverse=True)
+    d = d[with_one]
     w, bias = np.zeros(len(used)), BIAS
     step, step_bias = [np.zeros(len(used)), np.zeros(len(used))], [0.0, 0.0]
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
@@ -149,7 +158,7 @@ def score_column(column: pa.Array, weights: np.ndarray) -> np.ndarray:
         features, sentence, doc = _features(block)
         pairs = sentence[:, None] * (1 << BITS) + features
         pairs = np.unique(pairs[features > 0])
-        logits = np.bincount(pairs >> BITS, weights[pairs & (1 << BITS) - 1], len(doc)) + weights[-1]
+        logits = _logits(pairs, weights, len(doc))
         out.append(-np.expm1(_noisy_or(logits, doc, block.n_docs)))
     return np.clip(np.concatenate(out), 0.0, 1.0)
 
@@ -166,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     for value in (0, 1):
         part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_CLASS)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select("doc_id", shared.text_or_empty().alias("text")).filter(F.length("text").between(1, TRAIN_CHARS))
+    texts = docs.select("doc_id", shared.text_or_empty().alias("text")).filter(F.length("text") > 0)
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # 2 * TRAIN_PER_CLASS ids at most
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +210,7 @@ def sentences(text: str | None, weights: np.ndarray) -> list[tuple[int, int, flo
     for block in blocks.blocks(pa.array([text or ""]), lower=True):
         features, sentence, doc = _features(block)
         pairs = np.unique((sentence[:, None] * (1 << BITS) + features)[features > 0])
-        logits = np.bincount(pairs >> BITS, weights[pairs & (1 << BITS) - 1], len(doc)) + weights[-1]
+        logits = _logits(pairs, weights, len(doc))
         ends = block.starts + blocks.word_lengths(block)
         for k, z in enumerate(logits):
             words = np.flatnonzero(sentence == k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a laptop).
+#: Used only where the session names no shared folder and all of it runs on this machine (tests, a laptop).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``; set to a local one only where it is unset."""
+    """The folder all executors see, from ``spark.checkpoint.dir``. Where it is unset, a local session gets a local one;
+    a cluster's session is refused, since its executors don't see each other's folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
@@ -40,12 +44,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Tables:
+    """The tables of one job. Each is dropped once what reads it has been written, and by then nothing's lineage leads
+    to it; the rest goes when the interpreter ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing before it."""
+        self.drop(name)
+        self.paths[name] = path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.paths.pop(name, None)
+            if path:
+                drop_path(self.spark, path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays until the interpreter ends: lazy results may read it."""
+    return Tables(df.sparkSession).write(label, df)
 
 
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:

@@ -48,10 +48,11 @@ def status_category(status="risk_status") -> Column:
 
 
 def genotype_probability(status="risk_status", p="risk_allele_frequency", hardy_weinberg: bool = False) -> Column:
-    """p*q for one risk allele, q*q for none, p*p for two. ``hardy_weinberg`` doubles the first, an extension."""
+    """p*q for one risk allele, q*q for none, p*p for two, null without a status. ``hardy_weinberg`` doubles the first, an
+    extension."""
     p, q = col(p), 1 - col(p)
     one = 2 * p * q if hardy_weinberg else p * q
-    return F.when(col(status) == 1, one).when(col(status) == 0, q * q).otherwise(p * p)
+    return F.when(col(status) == 1, one).when(col(status) == 0, q * q).when(col(status) == 2, p * p)
 
 
 def population_score(is_or="is_or", p="risk_allele_frequency", effect="odds_ratio", direction="trait_direction") -> Column:
@@ -70,6 +71,11 @@ def final_risk(is_or="is_or", effect="odds_ratio", status="risk_status", populat
     return F.when(col(is_or), log).otherwise(col(effect)) * col(status) - col(population)
 
 
+def log_risk(effect="odds_ratio", status="risk_status", population="population_score") -> Column:
+    """The plain form: always the logarithm of the effect; null where there's none."""
+    return F.when(col(effect) > 0, F.ln(col(effect))) * col(status) - col(population)
+
+
 def allele_after_dash(text) -> Column:
     """What follows the first dash; null if nothing does."""
     return F.nullif(F.regexp_extract(col(text), "-(.*)", 1), F.lit(""))

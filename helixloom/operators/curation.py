@@ -51,7 +51,8 @@ def with_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def category_counts(curated: DataFrame) -> DataFrame:
-    return curated.filter("is_or").groupBy("category").agg(F.count("*").alias("n"))
+    """Odds-ratio rows by category, the commonest first, equals by name; as many rows as there are categories."""
+    return curated.filter("is_or").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
 
 
 def allele_lookup(keys: DataFrame, dimension: DataFrame) -> DataFrame:

@@ -67,20 +67,46 @@ def trait_scores(full: DataFrame) -> DataFrame:
 def rare_variants(gwas: DataFrame, calls: DataFrame, n: int = 5, hardy_weinberg: bool = False) -> DataFrame:
     """RARE: of each sample, blocks of the ``n`` rarest risk variants (1), protective ones (2) and genotypes (3).
 
-    Variants in several blocks stand in each. Ties go to the lower row_id; nulls come last. No-calls are left out.
+    Variants in several blocks stand in each. Ties go to the lower row_id; nulls come last. No-calls are left out. The
+    joined rows are made once: each is tagged with its blocks, and one window takes the first of every block, which Spark
+    limits before the shuffle.
     """
     rows = annotated(matched(gwas, calls)).filter(~F.coalesce(F.contains("personal_genotype", F.lit("-")), F.lit(False)))
     rows = rows.withColumn("genotype_probability", expr.genotype_probability(hardy_weinberg=hardy_weinberg))
-    blocks = [(1, F.col("risk_status") > 0, "risk_allele_frequency"), (2, F.col("risk_status") == 0, "other_allele_frequency"), (3, F.lit(True), "genotype_probability")]
-    out = None
-    for block, condition, key in blocks:
-        order = Window.partitionBy("sample_id").orderBy(F.col(key).asc_nulls_last(), "row_id")
-        ranked = rows.filter(condition).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-        part = ranked.select("sample_id", F.lit(block).alias("block"), "rank", "rsid", "risk_allele", "risk_allele_frequency", "gene", "category", "personal_genotype", "other_allele_frequency", "genotype_probability")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def tag(block: int, key: str):
+        return F.struct(F.lit(block).alias("block"), F.col(key).alias("key"))
+
+    third = tag(3, "genotype_probability")
+    tags = F.when(F.col("risk_status") > 0, F.array(tag(1, "risk_allele_frequency"), third)).when(F.col("risk_status") == 0, F.array(tag(2, "other_allele_frequency"), third)).otherwise(F.array(third))
+    tagged = rows.withColumn("tag", F.explode(tags)).select("*", "tag.*")
+    order = Window.partitionBy("sample_id", "block").orderBy(F.col("key").asc_nulls_last(), "row_id")
+    ranked = tagged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select("sample_id", "block", "rank", "rsid", "risk_allele", "risk_allele_frequency", "gene", "category", "personal_genotype", "other_allele_frequency", "genotype_probability")
+
+
+def plain_trait_scores(full: DataFrame) -> DataFrame:
+    """The plainer aggregate: per sample and odds-ratio trait the sum of ``log_risk``, the number of its variants, and what
+    the first of them by row_id has. ``full`` has the signed effect; that of an odds ratio is the effect itself."""
+    rows = full.filter("trait is not null").withColumn("risk", expr.log_risk()).filter(F.col("risk").isNotNull() & ~F.isnan("risk"))
+    kept = ["rsid", "risk_allele", "pmid", "chromosome", "personal_genotype", "is_or"]
+    first = F.min_by(F.struct(*kept), F.struct("row_id", "rsid")).alias("first")
+    found = rows.groupBy("sample_id", "trait").agg(F.sum("risk").alias("final_risk"), F.count("*").alias("n_risk_snps"), first)
+    found = found.select("sample_id", "trait", "final_risk", "n_risk_snps", "first.*")
+    return found.filter("is_or").withColumn("percentile", expr.normal_cdf("final_risk") * 100)
 
 
 def score(gwas: DataFrame, calls: DataFrame) -> Scores:
     full = full_scores(gwas, calls)
     return Scores(full, trait_scores(full), rare_variants(gwas, calls))
+
+
+def stored(scores: Scores, folder: str) -> Scores:
+    """The scores as Parquet tables of a folder, computed once for all views: FULL is written, PRS is made of what was
+    written, and views read files in place of the joins."""
+    spark = scores.full.sparkSession
+    scores.full.write.mode("overwrite").parquet(f"{folder}/full")
+    full = spark.read.parquet(f"{folder}/full")
+    trait_scores(full).write.mode("overwrite").parquet(f"{folder}/prs")
+    scores.rare.write.mode("overwrite").parquet(f"{folder}/rare")
+    return Scores(full, spark.read.parquet(f"{folder}/prs"), spark.read.parquet(f"{folder}/rare"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import curation, scoring
-from ..sources import fixtures
+from ..sources import fixtures, readers, schemas
 from . import views
 from .oracle import ORACLE_SQL  # noqa: F401  the SQL of the same names
 
@@ -171,6 +171,54 @@ def category_lookup(spark, sf):
     return curation.category_table(spark)
 
 
+def plain_trait_scores(spark, sf):
+    return rounded(scoring.plain_trait_scores(_full(spark, sf)), final_risk=SCORE, percentile=PERCENT)
+
+
+def _calls_from_files(spark, sf):
+    """The calls as tab-separated files, a folder a sample, without a header, read back."""
+    folder = readers.scratch(spark, "calls")
+    calls = fixtures.calls(spark, sf).select("sample_id", "rsid", "chromosome", "position", "genotype")
+    calls.repartition("sample_id").write.partitionBy("sample_id").csv(folder, sep="\t")
+    return readers.read_calls(spark, f"{folder}/*", sample_id=F.regexp_extract(F.input_file_name(), "sample_id=([^/]+)", 1))
+
+
+def _catalogue_from_files(spark, sf):
+    """The catalogue as CSV with its row names first, read back."""
+    folder = readers.scratch(spark, "catalogue")
+    columns = [c.strip().split(" ")[0] for c in schemas.GWAS.split(",")]
+    readers.write_csv(fixtures.gwas(spark, sf).select(*columns), folder, "row_id")
+    return readers.read_catalogue(spark, folder)
+
+
+def files_calls(spark, sf):
+    return _calls_from_files(spark, sf)
+
+
+def files_catalogue(spark, sf):
+    return rounded(_catalogue_from_files(spark, sf), odds_ratio=SCORE, population_score=SCORE)
+
+
+def files_prs(spark, sf):
+    """The trait scores, from files to the end."""
+    prs = scoring.trait_scores(scoring.full_scores(_catalogue_from_files(spark, sf), _calls_from_files(spark, sf)))
+    return rounded(prs.select("sample_id", "trait", "final_risk", "n_variants", "percentile"), final_risk=SCORE, percentile=PERCENT)
+
+
+def files_raw_catalogue(spark, sf):
+    """The raw association table as tab-separated files under its own column names, read back and curated."""
+    folder = readers.scratch(spark, "raw")
+    raw = fixtures.raw_catalogue(spark, sf).drop("row_id")
+    raw.select(*[F.col(own).alias(name) for name, own in readers.RAW_NAMES.items()], F.lit("x").alias("PLATFORM")).write.csv(folder, sep="\t", header=True)
+    return rounded(curation.curate(readers.read_raw_catalogue(spark, folder, readers.RAW_NAMES)), odds_ratio=SCORE, population_score=SCORE)
+
+
+def files_sports(spark, sf):
+    folder = readers.scratch(spark, "sports")
+    views.sports_table(spark).coalesce(1).write.csv(folder, sep="\t", header=True)
+    return views.sports_join(fixtures.calls(spark, sf), readers.read_sports(spark, folder))
+
+
 def normal_grid(spark, sf):
     """The grid of the density view with the distribution function beside it."""
     grid = spark.range(1000).select((-4 + F.col("id") * 8 / 999).alias("x"))
@@ -181,5 +229,6 @@ _ALL = (
     prs_trait, full_scored, scan_catalogue, scan_calls, risk_status_counts, trait_counts, category_radar, sunburst_rollup, disease_overview, density_curve, trait_report, trait_detail, sports_join, popular_snps,
     cvd_split, hypertension_sum, lipid_sum, other_markers, rare_blocks, rare_genotypes, rare_mutations, trait_choices, trait_overview, curated_catalogue, category_counts, status_share, percentile_histogram,
     allele_lookup, has_trait, superpopulation_regions, sport_scores, power_endurance, category_lookup, normal_grid,
+    plain_trait_scores, files_calls, files_catalogue, files_prs, files_raw_catalogue, files_sports,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

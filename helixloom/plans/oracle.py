@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.expr import ERF_A, ERF_P
 from ..sources import fixtures
 from ..sources import reference_data as ref
 
@@ -26,10 +25,9 @@ def _in(values) -> str:
 
 
 def _cdf(x: str) -> str:
-    t = f"(1 / (1 + {ERF_P} * abs({x}) / sqrt(2)))"
-    poly = "0.0"
-    for a in reversed(ERF_A):
-        poly = f"(({poly} + ({a})) * {t})"
+    """Abramowitz and Stegun 7.1.26, its five constants written out here, apart from those of the columns."""
+    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+    poly = f"(0.254829592 * {t} - 0.284496736 * {t}**2 + 1.421413741 * {t}**3 - 1.453152027 * {t}**4 + 1.061405429 * {t}**5)"
     return f"(CASE WHEN {x} >= 0 THEN 0.5 * (2 - {poly} * exp(-({x}) * ({x}) / 2)) ELSE 0.5 * {poly} * exp(-({x}) * ({x}) / 2) END)"
 
 
@@ -92,7 +90,7 @@ def _block(number: int, condition: str, key: str) -> str:
 
 RARE = f"""{FULL},
 called AS (SELECT *, CASE risk_status WHEN 1 THEN risk_allele_frequency * (1 - risk_allele_frequency) WHEN 0 THEN (1 - risk_allele_frequency) * (1 - risk_allele_frequency)
-    ELSE risk_allele_frequency * risk_allele_frequency END AS genotype_probability FROM annotated WHERE NOT contains(personal_genotype, '-')),
+    WHEN 2 THEN risk_allele_frequency * risk_allele_frequency END AS genotype_probability FROM annotated WHERE NOT contains(personal_genotype, '-')),
 rare AS ({_block(1, "risk_status > 0", "risk_allele_frequency")} UNION ALL {_block(2, "risk_status = 0", "other_allele_frequency")} UNION ALL {_block(3, "TRUE", "genotype_probability")})"""
 
 _EDGES = _values([(i, *e) for i, e in enumerate(fixtures.RAW_EDGES)], "e, strongest_allele, ci_text, frequency, replication_size")
@@ -127,7 +125,6 @@ _POPULAR = _values(ref.POPULAR_SNPS, "rsid, description, effect_allele")
 _SPORTS = _values([tuple(r) for r in ref.SPORTS_SNPS], ", ".join("chr_comment" if c == "Comment" else c for c in ref.SPORTS_COLUMNS))
 _DETAIL_N = _COUNT.format("personal_genotype", "risk_allele")
 _POPULAR_N = _COUNT.format("genotype", "effect_allele")
-_TOP = 1 / (2 * 3.141592653589793) ** 0.5
 
 ORACLE_SQL: dict[str, str] = {
     "prs_trait": f"WITH {PRS} SELECT sample_id, trait, round(final_risk, 6) AS final_risk, n_chromosomes, is_or, round(population_score, 6) AS population_score, pmid, rsid, category, n_variants, round(percentile, 4) AS percentile FROM prs",
@@ -143,7 +140,7 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT sample_id, 'SNPs', '', count(*), '{ref.NODE_COLOURS["SNPs"]}' FROM rows GROUP BY sample_id""",
     "disease_overview": f"WITH {PRS} SELECT sample_id, trait, category, round(percentile - 50, 4) AS percentile_normalized, CASE WHEN percentile - 50 > 0 THEN 'red' ELSE 'green' END AS colour FROM prs WHERE is_or AND trait NOT IN {_in(ref.BLOCKED_TRAITS)}",
     "density_curve": f"""WITH {PRS}, grid AS (SELECT -4 + i * 8::DOUBLE / 999 AS x FROM range(1000) r(i)), s AS (SELECT final_risk AS z, percentile FROM prs WHERE sample_id = 1 AND trait = 'Melanoma' AND is_or)
-      SELECT round(x, 6) AS x, round({_pdf("x")}, 6) AS y, side, round(z, 6) AS z, round(percentile, 4) AS percentile, round({_TOP * 0.9!r}::DOUBLE, 6) AS mark_height, round({_TOP * 1.1!r}::DOUBLE, 6) AS axis_height
+      SELECT round(x, 6) AS x, round({_pdf("x")}, 6) AS y, side, round(z, 6) AS z, round(percentile, 4) AS percentile, round((SELECT max({_pdf("x")}) FROM grid) * 0.9, 6) AS mark_height, round((SELECT max({_pdf("x")}) FROM grid) * 1.1, 6) AS axis_height
       FROM grid, s, (VALUES ('below'), ('above')) b(side) WHERE (side = 'below' AND x <= z) OR (side = 'above' AND x >= z)""",
     "trait_report": f"WITH {PRS} SELECT sample_id, trait, round(percentile, 4) AS percentile, len(string_split(pmid, ',')) AS n_pmids, len(string_split(rsid, ',')) AS n_snps FROM prs",
     "trait_detail": f"""WITH {FULL} SELECT sample_id, rsid, gene, personal_genotype, risk_allele, round(odds_ratio, 6) AS odds_ratio, risk_allele_frequency, confidence_interval, pmid, risk_status_category,
@@ -162,7 +159,7 @@ ORACLE_SQL: dict[str, str] = {
     "trait_choices": f"WITH {PRS} SELECT sample_id, trait, row_number() OVER (PARTITION BY sample_id ORDER BY round(percentile, 4), trait) AS place FROM prs WHERE is_or AND trait NOT IN {_in(ref.BLOCKED_TRAITS)}",
     "trait_overview": f"WITH {PRS} SELECT sample_id, trait, round(final_risk, 6) AS final_risk, CASE WHEN final_risk > 0 THEN 'blue' ELSE 'orange' END AS colour FROM prs WHERE NOT is_or",
     "curated_catalogue": f"WITH {CURATED} SELECT * REPLACE (round(odds_ratio, 6) AS odds_ratio, round(population_score, 6) AS population_score) FROM curated",
-    "category_counts": f"WITH {CURATED} SELECT category, count(*) AS n FROM curated WHERE is_or GROUP BY 1",
+    "category_counts": f"WITH {CURATED} SELECT category, count(*) AS n FROM curated WHERE is_or GROUP BY 1 ORDER BY n DESC, category",
     "status_share": f"WITH {FULL} SELECT sample_id, risk_status_category, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY sample_id), 6) AS share FROM fullt GROUP BY sample_id, risk_status_category",
     "percentile_histogram": f"WITH {PRS} SELECT least(floor(round(percentile, 4) * 20 / 100), 19)::INT AS bin, count(*) AS n FROM prs GROUP BY 1",
     "allele_lookup": f"""WITH {GWAS} SELECT 'rs' || (1000000 + p_partkey) AS refsnp_id, CASE WHEN p_partkey % 2 = 0 THEN 'A/G' ELSE 'C/T' END AS allele, (p_partkey * 1000)::BIGINT AS chrom_start, CASE WHEN p_size > 25 THEN 1 ELSE -1 END AS chrom_strand
@@ -172,5 +169,14 @@ ORACLE_SQL: dict[str, str] = {
     "sport_scores": "SELECT * FROM " + _values(ref.SPORT_SCORES, "sport, genetic_score"),
     "power_endurance": "SELECT * FROM " + _values(ref.POWER_ENDURANCE, "axis, value"),
     "category_lookup": "SELECT * FROM " + _values(_category_rows(), "trait, category"),
+    "plain_trait_scores": f"""WITH {FULL}, r AS (SELECT *, (CASE WHEN odds_ratio > 0 THEN ln(odds_ratio) END) * risk_status - population_score AS risk FROM fullt),
+      p AS (SELECT sample_id, trait, sum(risk) AS final_risk, count(*) AS n_risk_snps, min_by(rsid, row_id) AS rsid, min_by(risk_allele, row_id) AS risk_allele, min_by(pmid, row_id) AS pmid, min_by(chromosome, row_id) AS chromosome,
+        min_by(personal_genotype, row_id) AS personal_genotype, min_by(is_or, row_id) AS is_or FROM r WHERE risk IS NOT NULL GROUP BY sample_id, trait)
+      SELECT * REPLACE (round(final_risk, 6) AS final_risk), round({_cdf("final_risk")} * 100, 4) AS percentile FROM p WHERE is_or""",
+    "files_calls": f"WITH {CALLS} SELECT sample_id::VARCHAR AS sample_id, rsid, chromosome, position, genotype FROM calls",
+    "files_catalogue": f"WITH {GWAS} SELECT row_id, trait, round(odds_ratio, 6) AS odds_ratio, risk_allele, confidence_interval, rsid, is_or, pmid, risk_allele_frequency, trait_direction, gene, round(population_score, 6) AS population_score, category FROM gwas",
+    "files_raw_catalogue": f"WITH {CURATED} SELECT * EXCLUDE (row_id) REPLACE (round(odds_ratio, 6) AS odds_ratio, round(population_score, 6) AS population_score) FROM curated",
+    "files_sports": f"WITH {CALLS} SELECT c.sample_id, c.rsid, s.gene, c.genotype, s.power_allele, s.endurance_allele, s.chr_comment AS comment FROM calls c JOIN {_SPORTS} s ON c.rsid = s.SNP",
+    "files_prs": f"WITH {PRS} SELECT sample_id::VARCHAR AS sample_id, trait, round(final_risk, 6) AS final_risk, n_variants, round(percentile, 4) AS percentile FROM prs",
     "normal_grid": f"SELECT round(x, 6) AS x, round({_pdf('x')}, 6) AS density, round({_cdf('x')} * 100, 4) AS percentile FROM (SELECT -4 + i * 8::DOUBLE / 999 AS x FROM range(1000) r(i))",
 }

@@ -60,12 +60,13 @@ def trait_overview(prs: DataFrame) -> DataFrame:
 
 def density_curve(prs: DataFrame, sample_id, trait: str, points: int = 1000) -> DataFrame:
     """The standard normal density from -4 to 4, with the side of the sample's score (the point itself is on both) and
-    the heights for its mark and the axis. Empty if the sample has no such odds-ratio trait."""
+    the heights for its mark and the axis, parts of the highest point of the grid. Empty if the sample has no such
+    odds-ratio trait."""
     grid = prs.sparkSession.range(points).select((-4 + F.col("id") * 8 / (points - 1)).alias("x")).withColumn("y", expr.normal_pdf("x"))
-    score = prs.filter((F.col("sample_id") == sample_id) & (F.col("trait") == trait) & F.col("is_or")).select(F.col("final_risk").alias("z"), "percentile").limit(1)
-    # one row at most beside the grid
-    rows = grid.join(F.broadcast(score), F.lit(True))
-    top = F.lit(1 / (2 * 3.141592653589793) ** 0.5)
+    score = prs.filter((F.col("sample_id") == sample_id) & (F.col("trait") == trait) & F.col("is_or")).select(F.col("final_risk").alias("z"), "percentile").groupBy().agg(F.min(F.struct("z", "percentile")).alias("s")).filter("s is not null").select("s.*")
+    # one row at most beside the grid, and one with its top
+    rows = grid.join(F.broadcast(score), F.lit(True)).join(F.broadcast(grid.agg(F.max("y").alias("top"))), F.lit(True))
+    top = F.col("top")
     sided = rows.withColumn("side", F.explode(F.when(F.col("x") < F.col("z"), F.array(F.lit("below"))).when(F.col("x") > F.col("z"), F.array(F.lit("above"))).otherwise(F.array(F.lit("below"), F.lit("above")))))
     return sided.select("x", "y", "side", "z", "percentile", (top * 0.9).alias("mark_height"), (top * 1.1).alias("axis_height"))
 
@@ -90,12 +91,14 @@ def sports_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.SPORTS)
 
 
-def sports_join(calls: DataFrame, sports: DataFrame) -> DataFrame:
+def sports_join(calls: DataFrame | None, sports: DataFrame) -> DataFrame:
+    calls = require(calls)
     return calls.join(sports, calls.rsid == sports.SNP).select("sample_id", "rsid", sports.gene.alias("gene"), "genotype", "power_allele", "endurance_allele", F.col("Comment").alias("comment"))
 
 
-def popular_snps(calls: DataFrame) -> DataFrame:
+def popular_snps(calls: DataFrame | None) -> DataFrame:
     """Well-known variants that a sample has calls for. Vendor ids are replaced in every text column."""
+    calls = require(calls)
     renamed = calls.replace(ref.VENDOR_RSIDS)
     table = calls.sparkSession.createDataFrame(ref.POPULAR_SNPS, "rsid string, description string, effect_allele string")
     n = expr.occurrences("genotype", "effect_allele")
@@ -103,27 +106,27 @@ def popular_snps(calls: DataFrame) -> DataFrame:
     return renamed.join(table, "rsid").select("sample_id", "rsid", "description", "effect_allele", "genotype", n.cast("long").alias("occurrences"), colour.alias("colour"))
 
 
-def cvd_split(full: DataFrame) -> DataFrame:
-    rows = full.filter(~F.col("is_or") & F.col("trait").isin(ref.BLOOD_PRESSURE_TRAITS + ref.LIPID_TRAITS))
+def cvd_split(full: DataFrame | None) -> DataFrame:
+    rows = require(full).filter(~F.col("is_or") & F.col("trait").isin(ref.BLOOD_PRESSURE_TRAITS + ref.LIPID_TRAITS))
     label = F.when(F.col("risk_status_category") == "good", "Protective").otherwise("Predisposition")
     return rows.groupBy("sample_id", label.alias("status")).agg(F.count("*").alias("n"))
 
 
-def hypertension(prs: DataFrame) -> DataFrame:
-    return prs.filter(~F.col("is_or") & F.col("trait").isin(ref.BLOOD_PRESSURE_TRAITS)).groupBy("sample_id", "trait").agg(F.sum("final_risk").alias("total"))
+def hypertension(prs: DataFrame | None) -> DataFrame:
+    return require(prs).filter(~F.col("is_or") & F.col("trait").isin(ref.BLOOD_PRESSURE_TRAITS)).groupBy("sample_id", "trait").agg(F.sum("final_risk").alias("total"))
 
 
-def lipids(prs: DataFrame, parity: bool = True) -> DataFrame:
+def lipids(prs: DataFrame | None, parity: bool = True) -> DataFrame:
     """``parity`` keeps the label table as it is; else the fenofibrate triglyceride response keeps its own name."""
     labels = dict(ref.LIPID_LABELS)
     if not parity:
         labels = {k: (k if k.startswith("Response") else v) for k, v in labels.items()}
-    rows = prs.filter(~F.col("is_or") & F.col("trait").isin(ref.LIPID_TRAITS))
+    rows = require(prs).filter(~F.col("is_or") & F.col("trait").isin(ref.LIPID_TRAITS))
     return rows.groupBy("sample_id", expr.mapped("trait", labels).alias("trait")).agg(F.sum("final_risk").alias("total"))
 
 
-def other_markers(full: DataFrame) -> DataFrame:
-    rows = full.filter(~F.col("is_or") & F.col("trait").isin(ref.OTHER_MARKER_TRAITS) & (F.col("trait") != "Platelet count"))
+def other_markers(full: DataFrame | None) -> DataFrame:
+    rows = require(full).filter(~F.col("is_or") & F.col("trait").isin(ref.OTHER_MARKER_TRAITS) & (F.col("trait") != "Platelet count"))
     return rows.groupBy("sample_id", "trait").agg(F.sum("final_risk").alias("total"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,58 @@ class Paths:
 
     @property
     def genomes(self) -> str:
-        return os.environ.get("GENOMICS_GENOMES_DIR", str(Path(self.project) / "genomes"))
+        return os.environ.get("GENOMICS_GENOMES_DIR", f"{self.project}/genomes")
 
     @property
     def catalogue(self) -> str:
-        return os.environ.get("GENOMICS_GWAS_DATA", str(Path(self.project) / "gwas.csv"))
+        return os.environ.get("GENOMICS_GWAS_DATA", f"{self.project}/gwas.csv")
 
-    def missing(self) -> list[str]:
-        return [p for p in (self.project, self.genomes, self.catalogue) if not Path(p).exists()]
+    def missing(self, spark: SparkSession) -> list[str]:
+        return [p for p in (self.project, self.genomes, self.catalogue) if not exists(spark, p)]
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whichever Hadoop knows: local, shared or an object store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _place(spark, path)
+    return files.exists(at)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name under the session's ``spark.checkpoint.dir``, removed when the interpreter ends; a local session
+    without that setting gets one on this machine."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    path = f"{(shared or '/tmp/checkpoints').rstrip('/')}/helixloom/{label}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at, files = _place(spark, path)
+            files.delete(at, True)
+        except Exception:  # the session may be gone
+            pass
+
+    atexit.register(remove)
+    return path
+
+
+# Column names of the raw association table, and what they are here.
+RAW_NAMES = {
+    "OR.or.BETA": "odds_or_beta",
+    "STRONGEST.SNP.RISK.ALLELE": "strongest_allele",
+    "RISK.ALLELE.FREQUENCY": "frequency",
+    "X95..CI..TEXT.": "ci_text",
+    "REPLICATION.SAMPLE.SIZE": "replication_size",
+    "SNPS": "snps",
+    "DISEASE.TRAIT": "trait",
+    "PUBMEDID": "pmid",
+    "MAPPED_GENE": "gene",
+}
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +99,7 @@ def read_raw_catalogue(spark: SparkSession, path: str, columns: dict[str, str])
 def read_calls(spark: SparkSession, path, first_row_is_header: bool = False, sample_id=None) -> DataFrame:
     """Genotype calls: TSV of four columns, ``#`` comments. A header row that isn't commented is dropped. With
     ``first_row_is_header`` each file's first data row is taken as the header, as a reader that infers headers would.
-    ``sample_id``: a value, or None for the file's name without its ending."""
+    ``sample_id``: a value or column, or None for the file's name without its ending."""
     read = spark.read.csv(path, sep="\t", comment="#", header=first_row_is_header, schema=schemas.CALLS, enforceSchema=True)
     rows = read.filter(~F.coalesce(F.lower("rsid") == "rsid", F.lit(False)))
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1) if sample_id is None else F.lit(sample_id)
@@ -74,11 +120,14 @@ def read_sports(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schemas.SPORTS)
 
 
-def list_genomes(folder: str) -> dict[str, str]:
-    """Name to path of the sample files of a folder, sorted, a blank entry first; empty if there's no folder."""
-    if not Path(folder).is_dir():
+def list_genomes(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name to path of the sample files of a folder, on any file system, sorted, a blank entry first; empty if there's no
+    folder."""
+    at, files = _place(spark, folder)
+    if not files.exists(at) or not files.getFileStatus(at).isDirectory():
         return {}
-    return {"": ""} | {p.stem: str(p) for p in sorted(Path(folder).glob("*.txt"))}
+    found = [s.getPath() for s in files.listStatus(at) if s.isFile()]
+    return {"": ""} | {p.getName().removesuffix(".txt"): str(p.toString()) for p in sorted(found, key=lambda p: p.getName()) if p.getName().endswith(".txt")}
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:

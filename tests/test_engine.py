@@ -129,7 +129,8 @@ def test_files(spark, tmp_path):
     got = sorted(values(readers.read_calls(spark, str(genomes)), "sample_id", "rsid", "chromosome", "position", "genotype"), key=repr)
     assert got == [("ann", "rs1", "1", 10, "AA"), ("ann", "rs2", "X", None, "AG"), ("bob", "rs1", "MT", 5, "--")]
     assert readers.read_calls(spark, str(genomes / "ann.txt"), first_row_is_header=True).count() == 1
-    assert list(readers.list_genomes(str(genomes))) == ["", "ann", "bob"] and readers.list_genomes(str(tmp_path / "no")) == {}
+    found = readers.list_genomes(spark, str(genomes))
+    assert list(found) == ["", "ann", "bob"] and readers.read_calls(spark, found["ann"]).count() == 2 and readers.list_genomes(spark, str(tmp_path / "no")) == {}
     (tmp_path / "vendor.csv").write_text('#x\n"rsid","chromosome","position","allele1","allele2"\nrs5,2,7,A,G\n')
     assert values(readers.read_two_allele_calls(spark, str(tmp_path / "vendor.csv")), "sample_id", "rsid", "position", "genotype") == [("vendor", "rs5", 7, "AG")]
     catalogue = fixtures.gwas(spark, SF).select(*[c.strip().split(" ")[0] for c in schemas.GWAS.split(",")])
@@ -141,11 +142,11 @@ def test_files(spark, tmp_path):
     assert readers.preview(catalogue)[0] == catalogue.count()
 
 
-def test_paths(monkeypatch, tmp_path):
+def test_paths(spark, monkeypatch, tmp_path):
     monkeypatch.setenv("GENOMICS_PROJECT_ROOT", str(tmp_path))
     assert readers.Paths().genomes == str(tmp_path / "genomes")
     monkeypatch.setenv("GENOMICS_GENOMES_DIR", "/elsewhere")
-    assert readers.Paths().genomes == "/elsewhere" and "/elsewhere" in readers.Paths().missing()
+    assert readers.Paths().genomes == "/elsewhere" and "/elsewhere" in readers.Paths().missing(spark) and str(tmp_path) not in readers.Paths().missing(spark)
 
 
 def test_invariants(spark):
@@ -154,8 +155,50 @@ def test_invariants(spark):
     assert prs.filter("percentile < 0 or percentile > 100").isEmpty()
     assert rare.groupBy("sample_id", "block").count().filter("count > 5").isEmpty()
     assert {r[0] for r in full.select("risk_status").distinct().collect()} <= {0, 1, 2}
-    with pytest.raises(views.MissingInput):
-        views.require(None)
+    for view in (views.require, views.cvd_split, views.hypertension, views.lipids, views.other_markers, views.popular_snps, lambda df: views.sports_join(df, views.sports_table(spark))):
+        with pytest.raises(views.MissingInput):
+            view(None)
+
+
+def test_null_genotypes_have_no_probability(spark):
+    gwas = gwas_rows(spark, [(k, "T", f"rs{k}", True, 2.0, "A", 0.01 if k == 0 else 0.3, None, 0.0, None, "1") for k in range(3)])
+    rare = scoring.rare_variants(gwas, call_rows(spark, [(1, "rs0", None), (1, "rs1", "AA"), (1, "rs2", "GG")]))
+    got = {(r.block, r.rank): (r.rsid, r.genotype_probability) for r in rare.collect()}
+    assert got == {(1, 1): ("rs1", pytest.approx(0.09)), (2, 1): ("rs2", pytest.approx(0.49)), (3, 1): ("rs1", pytest.approx(0.09)), (3, 2): ("rs2", pytest.approx(0.49)), (3, 3): ("rs0", None)}
+
+
+def test_rare_variants_join_once(spark):
+    plan = scoring.rare_variants(fixtures.gwas(spark, SF), fixtures.calls(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") + plan.count("l_suppkey") >= 1 and plan.count("Join") == 1 and plan.count("Window ") == 1
+
+
+def test_heights_are_of_the_grid(spark):
+    """The highest of 1,000 points from -4 to 4 isn't at 0: stored values, 0.398939 of it worked out apart."""
+    prs = spark.createDataFrame([(1, "T", True, 0.5, 69.0)], "sample_id long, trait string, is_or boolean, final_risk double, percentile double")
+    row = views.density_curve(prs, 1, "T").first()
+    assert (round(row.mark_height, 6), round(row.axis_height, 6)) == (0.359045, 0.438833)
+    assert views.density_curve(prs, 2, "T").isEmpty()
+
+
+def test_plain_scores(spark):
+    gwas = gwas_rows(spark, [(2, "T", "rs2", True, 3.0, "A", 0.1, None, 0.1, "C", "9"), (1, "T", "rs1", True, 2.0, "A", 0.1, None, 0.0, "C", "8"), (3, "U", "rs1", False, 0.5, "A", 0.1, "increase", 0.0, None, "7")])
+    full = scoring.full_scores(gwas, call_rows(spark, [(1, "rs1", "AG"), (1, "rs2", "AA")]))
+    (row,) = scoring.plain_trait_scores(full).collect()
+    assert (row.trait, row.rsid, row.pmid, row.n_risk_snps, row.personal_genotype) == ("T", "rs1", "8", 2, "AG")
+    assert row.final_risk == pytest.approx(math.log(2) + 2 * math.log(3) - 0.1)
+
+
+def test_stored_scores(spark, tmp_path):
+    scores = scoring.score(fixtures.gwas(spark, SF), fixtures.calls(spark, SF))
+    kept = scoring.stored(scores, str(tmp_path))
+    for a, b in zip(scores, kept):
+        assert a.count() == b.count() and sorted(a.columns) == sorted(b.columns)
+    assert views.category_radar(kept.prs).count() == views.category_radar(scores.prs).count()
+
+
+def test_category_counts_are_ordered(spark):
+    rows = curation.category_counts(spark.createDataFrame([("a", True)] * 2 + [("b", True)] * 3 + [("0", True)] * 2 + [("z", False)], "category string, is_or boolean"))
+    assert values(rows, "category", "n") == [("b", 3), ("0", 2), ("a", 2)]
 
 
 def test_stream(spark, tmp_path):

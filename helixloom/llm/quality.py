@@ -1,10 +1,12 @@
 """Quality rules: fixed rules, then robust multivariate outliers.
 
 Counts of each document become a vector of transformed statistics. For each language and source, mean and covariance
-are those of the minimum-covariance-determinant kind: concentration steps over all documents, each of which keeps the
-share ``SUPPORT`` nearest to the last estimate, with quantiles and moments aggregated in the map tasks (a source with a
-third of all rows costs a row a task). A group's estimate is drawn towards that of its language as ``PRIOR`` documents
-would, so that small groups have one. A document whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
+are those of the minimum-covariance-determinant kind: concentration steps over all documents from two starts, each of
+which keeps the share ``SUPPORT`` nearest to its last estimate; of the two estimates the one of least determinant stays.
+Counts, sums and products are aggregated in the map tasks by bins of distance, so a source with a third of all rows costs
+a row a bin and task, and no document is joined to its group's limit. The bin in which the share is reached counts in
+part. A group's estimate is drawn towards that of its language as ``PRIOR`` documents would, so that small groups have
+one. A document whose squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ STEPS = 3
 PRIOR = 200.0
 #: The chi-square quantile of five dimensions at 0.99999.
 CUTOFF = 30.86
-#: Least standard deviation of each statistic, so that one that hardly varies (no symbols, no repeats) rejects none.
-FLOORS = (0.12, 0.30, 0.25, 0.25, 0.10)
+#: Least standard deviation of each statistic, so that one that hardly varies (no symbols, no repeats) rejects none for a
+#: trifle; what varies more has its own. A document of nearly only repeated lines or windows is still rejected for that.
+FLOORS = (0.12, 0.30, 0.16, 0.12, 0.10)
+#: Bins of squared distance: so many to a doubling, from the first to the last power of two.
+BINS, FIRST_BIN, LAST_BIN = 8, -20, 40
 VECTOR = ("v_length", "v_symbols", "v_lines", "v_repeats", "v_upper")
 D = len(VECTOR)
 MIN_WORDS = 50
@@ -63,41 +68,74 @@ def transformed(counted: DataFrame) -> DataFrame:
     )
 
 
-def _distance():
+def _distance(center="center", whiten="whiten"):
     """Squared Mahalanobis distance: the length of the whitened difference."""
+    center, whiten = (F.col(x) if isinstance(x, str) else x for x in (center, whiten))
     total = F.lit(0.0)
     for i in range(D):
         row = F.lit(0.0)
         for j in range(i + 1):
-            row = row + F.col("whiten")[i * D + j] * (F.col(VECTOR[j]) - F.col("center")[j])
+            row = row + whiten[i * D + j] * (F.col(VECTOR[j]) - center[j])
         total = total + row * row
     return total
 
 
-_MODEL = "lang string, source string, center array<double>, whiten array<double>"
+_PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+_MODEL = "lang string, source string, centers array<array<double>>, whitens array<array<double>>, dets array<double>"
 
 
-def _estimate(moments: pd.DataFrame) -> pd.DataFrame:
-    """Of one language: a row for each source. Moments: n, sums and sums of products of the supporting documents."""
-    floors = np.diag(np.square(FLOORS))
-    n = moments["n"].to_numpy(float)
-    s = np.array(moments["s"].tolist(), float).reshape(-1, D)
-    p = np.zeros((len(n), D, D))
-    upper = np.triu_indices(D)
-    p[:, upper[0], upper[1]] = np.array(moments["p"].tolist(), float).reshape(len(n), -1)
-    p[:, upper[1], upper[0]] = p[:, upper[0], upper[1]]
-    all_n, all_s, all_p = max(n.sum(), 1.0), s.sum(0), p.sum(0)
-    mean = all_s / all_n
-    spread = all_p / all_n - np.outer(mean, mean)
+def _whitening(cov: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(np.linalg.cholesky(cov))
+
+
+def _least_spread(cov: np.ndarray) -> np.ndarray:
+    """``cov`` with what its variances lack to the least ones."""
+    return (cov + cov.T) / 2 + np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 1e-9))
+
+
+def _supporting(bins: pd.DataFrame) -> np.ndarray:
+    """n, sums and products of the share SUPPORT of a group's documents that is nearest; its last bin counts in part."""
+    moments = bins.sort_values("bin")[["n", *_SUMS]].to_numpy(float)
+    before = np.cumsum(moments[:, 0]) - moments[:, 0]
+    part = np.clip((SUPPORT * moments[:, 0].sum() - before) / moments[:, 0], 0, 1)
+    return part @ moments
+
+
+_SUMS = [f"t{i}" for i in range(D)] + [f"p{i}{j}" for i, j in _PAIRS]
+
+
+def _starts(medians: pd.DataFrame) -> pd.DataFrame:
+    """From a group's quartiles: its medians with the least spreads, and with those of its quartiles."""
     rows = []
-    for k in range(len(n)):
-        weight = n[k] + PRIOR
-        center = (s[k] + PRIOR * mean) / weight
-        second = (p[k] + PRIOR * (spread + np.outer(mean, mean))) / weight
-        # the share SUPPORT nearest understates the spread; this factor is that of a normal sample of five statistics
-        cov = CONSISTENCY * (second - np.outer(center, center)) + floors
-        rows.append((center.tolist(), np.linalg.inv(np.linalg.cholesky((cov + cov.T) / 2)).ravel().tolist()))
-    return pd.DataFrame({"lang": moments["lang"], "source": moments["source"], "center": [r[0] for r in rows], "whiten": [r[1] for r in rows]})
+    for q in np.stack([np.array(medians[v].tolist(), float) for v in VECTOR], 2):  # group, quartile, statistic
+        spread = np.maximum((q[2] - q[0]) / 1.349, FLOORS)
+        rows.append(([q[1].tolist()] * 2, [np.diag(1 / np.array(x)).ravel().tolist() for x in (FLOORS, spread)], [0.0, 0.0]))
+    return pd.DataFrame({"lang": medians["lang"], "source": medians["source"], **{c: [r[k] for r in rows] for k, c in enumerate(("centers", "whitens", "dets"))}})
+
+
+def _estimate(binned: pd.DataFrame) -> pd.DataFrame:
+    """Of one language: a row for each source, by start."""
+    found: dict[str, list[tuple]] = {}
+    for _, of_start in binned.groupby("start"):
+        groups = [(source, _supporting(bins)) for source, bins in of_start.groupby("source")]
+        total = sum(m for _, m in groups)
+        mean, second = total[1 : D + 1] / total[0], _square(total[D + 1 :]) / total[0]
+        for source, m in groups:
+            weight = m[0] + PRIOR
+            center = (m[1 : D + 1] + PRIOR * mean) / weight
+            moments = (_square(m[D + 1 :]) + PRIOR * second) / weight
+            # the share SUPPORT nearest understates the spread; this factor is that of a normal sample of five statistics
+            cov = _least_spread(CONSISTENCY * (moments - np.outer(center, center)))
+            found.setdefault(source, []).append((center.tolist(), _whitening(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+    names = sorted(found)
+    return pd.DataFrame({"lang": binned["lang"].iloc[0], "source": names, **{c: [[r[k] for r in found[s]] for s in names] for k, c in enumerate(("centers", "whitens", "dets"))}})
+
+
+def _square(products: np.ndarray) -> np.ndarray:
+    out = np.zeros((D, D))
+    for (i, j), x in zip(_PAIRS, products, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
 
 
 #: Fixed value: SUPPORT / P(chi-square of 7 dimensions <= its quantile of 5 dimensions at SUPPORT), SUPPORT 0.75.
@@ -106,18 +144,21 @@ CONSISTENCY = 1.61
 
 def fit(measured: DataFrame) -> DataFrame:
     """A model row for each language and source, of documents that pass the fixed rules."""
+    tables = shared.Tables(measured.sparkSession)
     rows = measured.filter(~F.col("base_failed")).select("lang", "source", *VECTOR)
-    medians = rows.groupBy("lang", "source").agg(*[F.percentile_approx(v, 0.5, 1000).alias(v) for v in VECTOR])
-    start = np.linalg.inv(np.diag(FLOORS)).ravel().tolist()
-    model = shared.written(medians.select("lang", "source", F.array(*VECTOR).alias("center"), F.array(*map(F.lit, start)).alias("whiten")), "quality-model")
-    for _ in range(STEPS):
-        placed = rows.join(model, ["lang", "source"]).select("lang", "source", *VECTOR, _distance().alias("d2"))
-        limits = placed.groupBy("lang", "source").agg(F.percentile_approx("d2", SUPPORT, 2000).alias("limit"))
-        near = placed.join(limits, ["lang", "source"]).filter("d2 <= limit")
-        products = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])) for i in range(D) for j in range(i, D)]
-        moments = near.groupBy("lang", "source").agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in VECTOR]).alias("s"), F.array(*products).alias("p"))
-        model = shared.written(moments.groupBy("lang").applyInPandas(_estimate, _MODEL), "quality-model")
-    return model
+    quartiles = rows.groupBy("lang", "source").agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(v) for v in VECTOR])
+    model = tables.write("quality-0", quartiles.groupBy("lang").applyInPandas(_starts, _MODEL))
+    for step in range(STEPS):
+        placed = rows.join(model, ["lang", "source"])
+        d2 = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), _distance(F.col("centers")[k], F.col("whitens")[k]).alias("d2")) for k in (0, 1)]))
+        placed = placed.select("lang", "source", *VECTOR, d2.alias("at"))
+        place = F.floor(F.log2(F.greatest(F.least("at.d2", F.lit(2.0**LAST_BIN)), F.lit(2.0**FIRST_BIN))) * BINS).cast("int")
+        sums = [F.sum(v).alias(f"t{i}") for i, v in enumerate(VECTOR)] + [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}{j}") for i, j in _PAIRS]
+        binned = placed.groupBy("lang", "source", F.col("at.start").alias("start"), place.alias("bin")).agg(F.count("*").alias("n"), *sums)
+        model = tables.write(f"quality-{step + 1}", binned.groupBy("lang").applyInPandas(_estimate, _MODEL))
+        tables.drop(f"quality-{step}")
+    best = F.when(F.col("dets")[0] <= F.col("dets")[1], 0).otherwise(1)
+    return model.select("lang", "source", F.col("centers")[best].alias("center"), F.col("whitens")[best].alias("whiten"))
 
 
 def judge(measured: DataFrame, model: DataFrame) -> DataFrame:
@@ -127,13 +168,15 @@ def judge(measured: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """A row for each document: its counts, base_failed, distance and kept. Empty tables give no rows."""
+    """A row for each document: its counts, base_failed, distance and kept. Empty tables give no rows, repeated rows are
+    judged alike, each a document of its own; a distance of just the cutoff is kept."""
     measured = shared.written(measure(docs), "quality-stats")
     return judge(measured, fit(measured))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns. The texts aren't shuffled: the model is joined to them."""
+    """The documents that are kept, with all their columns, whatever these are named. The texts aren't shuffled: the model
+    is joined to them. Repeated rows stay repeated; an empty table gives none."""
     model = fit(shared.written(measure(docs), "quality-stats"))
     renamed = docs.toDF(*[f"in_{i}" for i in range(len(docs.columns))])
     names = dict(zip(docs.columns, renamed.columns, strict=True))

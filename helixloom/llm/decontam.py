@@ -3,7 +3,9 @@
 Texts are compared in lower case with each run of white space as one space. An item of n characters may differ by
 e = floor(n * ERROR_RATE) edits. Cut into e + 1 pieces, at least one piece of any such occurrence is unchanged; an
 automaton of all pieces finds these in one pass over a document, and Myers' bit-parallel distance verifies the item
-around each place once. Items meet documents in blocks of at most ``BLOCK_CHARS`` characters, broadcast one at a time.
+around each place once. Items meet documents in blocks of at most ``BLOCK_CHARS`` characters; of several blocks one at a
+time is broadcast, and what it finds is written before the next. An item of fewer than 13 characters has no error budget:
+it occurs wherever a text holds it, within words too.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import shared
 
@@ -130,40 +133,61 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
         yield block
 
 
+def _one_by_one(docs: DataFrame, benchmark: DataFrame, block_chars: int, find) -> DataFrame | None:
+    """What ``find(docs, sent)`` returns for each broadcast block of items, together; None without items. The result of a
+    lone block is lazy; of several, each is written and its block forgotten before the next is read."""
+    spark, every = docs.sparkSession, item_blocks(benchmark, block_chars)
+    block, found = next(every, None), None
+    while block is not None:
+        sent, after = spark.sparkContext.broadcast(tuple(block)), next(every, None)
+        part = find(docs, sent)
+        if found is not None or after is not None:
+            part = shared.written(part, "benchmark-hits")
+            sent.unpersist()
+        found, block = part if found is None else found.unionByName(part), after
+    return found
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, distance and end (code points of the normalised text) for each item found in each document.
+    """doc_id, item_id, distance and end (code points of the normalised text) for each item found in each document. Ids
+    are of any type, and may be null.
 
     Null or empty texts have no match. Repeated documents or items each give rows of their own.
     """
-    kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
-    spark, schema = docs.sparkSession, f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, distance long, end long"
-    source, found = docs.select("doc_id", shared.text_or_empty().alias("text")), None
-    for block in item_blocks(benchmark, block_chars):
-        sent = spark.sparkContext.broadcast(tuple(block))
+    item_kind = benchmark.schema["item_id"].dataType
+    arrow_kind = to_arrow_type(item_kind)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_kind.simpleString()}, distance long, end long"
 
-        def make(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+    def find(source: DataFrame, sent) -> DataFrame:
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             matcher = _matcher(sent.value, rate)
             rows = [(i, *hit) for i, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.find(normal(text))]
-            take = pa.array([r[0] for r in rows], pa.int64())
-            columns = [pa.array([r[k] for r in rows]) if k == 1 else pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(take), columns[0].cast(pa.int64()) if not rows else columns[0], *columns[1:]], ["doc_id", "item_id", "distance", "end"])
+            at, item, distance, end = (pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), arrow_kind, pa.int64(), pa.int64())))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), item, distance, end], ["doc_id", "item_id", "distance", "end"])
 
-        part = shared.arrow_map(source, make, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
+        return shared.arrow_map(source, make, schema)
 
+    found = _one_by_one(docs.select("doc_id", shared.text_or_empty().alias("text")), benchmark, block_chars, find)
+    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
-def drop_matching(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents in which no item occurs, with all their columns, in a single pass a block of items."""
-    schema = docs.schema
-    place = docs.columns.index("text")
-    for block in item_blocks(benchmark, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(block))
 
-        def make(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+def drop_matching(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents in which no item occurs, with all their columns. Documents with a null or empty text stay, and each
+    of repeated rows is judged alone; without items all stay. A benchmark of one block takes a single pass; with several,
+    documents are written once under row numbers, and those of the matching ones are joined out."""
+    place, blocks = docs.columns.index("text"), item_blocks(benchmark, block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(first))
+
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             matcher = _matcher(sent.value, rate)
-            keep = [not matcher.find(normal(text)) for text in batch.column(place).to_pylist()]
-            return batch.filter(pa.array(keep, pa.bool_()))
+            return batch.filter(pa.array([not matcher.find(normal(text)) for text in batch.column(place).to_pylist()], pa.bool_()))
 
-        docs = shared.arrow_map(docs, make, schema)
-    return docs
+        return shared.arrow_map(docs, make, docs.schema)
+    inner = [f"in_{k}" for k in range(len(docs.columns))]
+    numbered = shared.written(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()), "benchmark-docs")
+    hits = matches(numbered.select(F.col("row").alias("doc_id"), F.col(inner[place]).alias("text")), benchmark, rate, block_chars)
+    return numbered.join(hits.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*inner).toDF(*docs.columns)

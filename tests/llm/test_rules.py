@@ -1,5 +1,8 @@
 import re
 from collections import Counter
+from decimal import Decimal
+
+from pyspark.sql import functions as F
 
 from helixloom.llm import decontam, quality
 
@@ -41,6 +44,61 @@ def test_outliers_are_rejected_and_good_labels_kept(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in quality.verdicts(docs).filter("kept").collect()}
 
 
+def test_edge_rows_are_judged_like_verdicts(spark, edge_docs):
+    kept = quality.keep_good(edge_docs)
+    assert kept.columns == edge_docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality.verdicts(edge_docs).collect() if r.kept)
+
+
+def test_estimates_are_those_of_steps_over_sorted_distances(spark):
+    """The same concentration steps, by numpy over all rows, without bins."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    rows, names = [], ("a", "b")
+    for lang in ("en", "fr"):
+        for source, n in (("a", 900), ("b", 300)):
+            x = rnd.normal(0, 0.4, (n, quality.D)) @ (np.eye(quality.D) + 0.3) + (1.0 if source == "b" else 0.2)
+            x[: n // 10] += rnd.normal(6, 1, (n // 10, quality.D))
+            rows += [(lang, source, *map(float, r)) for r in x]
+    kinds = ", ".join(f"{v} double" for v in quality.VECTOR)
+    table = spark.createDataFrame(rows, f"lang string, source string, {kinds}").withColumn("base_failed", F.lit(False))
+    got = {(r.lang, r.source): (np.array(r.center), np.array(r.whiten).reshape(quality.D, quality.D)) for r in quality.fit(table).collect()}
+    for lang in ("en", "fr"):
+        data = {s: np.array([r[2:] for r in rows if r[:2] == (lang, s)]) for s in names}
+        best = {}
+        for start in (0, 1):
+            now = {}
+            for s, x in data.items():
+                q = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
+                spread = np.array(quality.FLOORS) if not start else np.maximum((q[2] - q[0]) / 1.349, quality.FLOORS)
+                now[s] = (q[1], np.diag(1 / spread))
+            for _ in range(quality.STEPS):
+                near = {s: x[np.argsort((((x - now[s][0]) @ now[s][1].T) ** 2).sum(1))[: int(quality.SUPPORT * len(x))]] for s, x in data.items()}
+                every = np.concatenate(list(near.values()))
+                mean, second = every.mean(0), every.T @ every / len(every)
+                for s, x in near.items():
+                    w = len(x) + quality.PRIOR
+                    center = (x.sum(0) + quality.PRIOR * mean) / w
+                    cov = quality.CONSISTENCY * ((x.T @ x + quality.PRIOR * second) / w - np.outer(center, center))
+                    cov += np.diag(np.maximum(np.square(quality.FLOORS) - np.diag(cov), 1e-9))
+                    now[s] = (center, np.linalg.inv(np.linalg.cholesky(cov)), np.linalg.slogdet(cov)[1])
+            for s, m in now.items():
+                if s not in best or m[2] < best[s][2]:
+                    best[s] = m
+        for s in names:
+            assert np.allclose(got[lang, s][0], best[s][0], atol=0.05)
+            assert np.allclose(got[lang, s][1], best[s][1], atol=0.35)
+
+
+def test_a_document_of_repeated_lines_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    menu = "\n".join([f"alpha{k} beta{k}" for k in range(10)] * 1 + [f"gamma{k % 5}" for k in range(0)] + [f"item{k % 4}" for k in (3, 1, 0, 2, 0, 3, 2, 1) * 16])
+    odd = spark.createDataFrame([(-1, menu, "en", docs.filter("lang = 'en'").first().source)], docs.schema)
+    row = quality.verdicts(docs.unionByName(odd)).filter("doc_id = -1").first()
+    assert not row.kept
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -75,6 +133,19 @@ def test_edit_matching(spark, edge_docs, no_docs):
     assert decontam.drop_matching(edge_docs, bench).columns == edge_docs.columns
 
 
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", f"a {ITEM} b"), (None, ITEM), ("y", "nothing")], "doc_id string, text string")
+    plain = [(3, ITEM), (None, ITEM + " and seas")]
+    for kind, cast in (("int", int), ("string", str), ("long", int), ("decimal(9,0)", Decimal)):
+        bench = spark.createDataFrame([(None if i is None else cast(i), t) for i, t in plain], f"item_id {kind}, text string")
+        for chars in (10, 1_000_000):
+            got = decontam.matches(docs, bench, block_chars=chars)
+            assert dict(got.dtypes)["item_id"] == kind.replace("long", "bigint")
+            assert sorted(((r.doc_id or "", r.item_id) for r in got.collect() if r.distance == 0), key=repr) == sorted((("", cast(3)), ("x", cast(3))), key=repr)
+            left = decontam.drop_matching(docs, bench, block_chars=chars)
+            assert [r.doc_id for r in left.collect()] == ["y"]
+
+
 def test_searches_agree_with_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(4)

@@ -30,6 +30,8 @@ GRAM = 25
 DEPTH = 2
 #: log2 of the cells of a row.
 CELL_BITS = 36
+#: Bits for the place of a word in a block: a row of Arrow text has less than 2^31 bytes, so fewer words than 2^30.
+PLACE_BITS = 30
 _U = np.uint64
 _SALTS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 
@@ -42,9 +44,9 @@ def _anchors(block: blocks.Block, window: int, gram: int):
         return None
     runs = blocks.Runs(hashes)
     grams = runs.of(np.arange(len(hashes) - gram + 1), gram)
-    # the low bits hold the place, so the least is the leftmost of equals
-    place_bits = max(1, int(len(grams)).bit_length())
-    low = _U((1 << place_bits) - 1)
+    # the low bits hold the place, so the least is the leftmost of equals; how many must not depend on the block, or
+    # copies of a window in blocks of different size could have different anchors
+    low = _U((1 << PLACE_BITS) - 1)
     key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     reach, have = window - gram + 1, 1
     least = key
@@ -154,25 +156,33 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth
     """doc_id, tag, low, high: word places [low, high) to remove; they may overlap. ``docs`` has doc_id, tag (a hash of
     the text, which tells texts of one doc_id apart) and text."""
     known = docs.filter("doc_id is not null")
-    often = shared.written(sketch(known, window, gram, depth, bits), "window-sketch")
+    tables = shared.Tables(docs.sparkSession)
+    often = tables.write("window-sketch", sketch(known, window, gram, depth, bits))
     found = stretches(known, window, gram, depth, bits)
     for k in range(depth):
         found = found.join(often.filter(F.col("row") == k).select(F.col("cell").alias(f"c{k}")), f"c{k}", "left_semi")
-    found = shared.written(found.drop(*[f"c{k}" for k in range(depth)]), "window-stretches")
-
-    least = found.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "first", "last", "offset")).alias("at"))
-    whole = found.join(least.select("anchor", "stretch", F.col("at.doc_id").alias("least")), ["anchor", "stretch"]).filter("doc_id > least")
+    found = tables.write("window-stretches", found.drop(*[f"c{k}" for k in range(depth)]))
+    tables.drop("window-sketch")
+
+    # groups are written before their rows are joined to them: both sides then stand behind a shuffle of their own, and
+    # Spark splits the share of a stretch or window that many documents hold
+    least = found.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("least"))
+    least = tables.write("window-least", least)
+    whole = found.join(least, ["anchor", "stretch"]).filter("doc_id > least")
     whole = whole.select("doc_id", "tag", F.col("first").alias("low"), (F.col("last") + window).alias("high"))
 
     several = least.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     # the least document of a stretch may hold it more than once; each place counts
-    kinds = least.join(several, "anchor").select("anchor", "stretch", F.col("at.doc_id").alias("doc_id"))
+    kinds = least.join(several, "anchor").select("anchor", "stretch", F.col("least").alias("doc_id"))
     ours = found.join(kinds, ["anchor", "stretch", "doc_id"])
     spans = ours.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("anchor", "offset", "first", "last")).alias("spans"))
-    windows = shared.written(_windows(docs.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), window), "windows")
+    windows = tables.write("windows", _windows(docs.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans"), window))
     lowest = windows.groupBy("anchor", "place", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("top")).filter("least < top")
+    lowest = tables.write("window-lowest", lowest.drop("top"))
     single = windows.join(lowest, ["anchor", "place", "h"]).filter("doc_id > least").select("doc_id", "tag", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
-    return whole.union(single)
+    spans = shared.written(whole.union(single), "window-spans")
+    tables.drop(*tables.paths)
+    return spans
 
 
 def _kept(spans, n: int) -> np.ndarray:
@@ -210,7 +220,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
 
 def _result(docs: DataFrame, digest: bool, options: dict) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(shared.text_or_empty()).alias("tag"), shared.text_or_empty().alias("text"))
-    spans = shared.written(removed_spans(docs, **options), "window-spans")
+    spans = removed_spans(docs, **options)
     last = "kept_sha256" if digest else "kept"
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

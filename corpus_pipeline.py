@@ -46,7 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table. Of each but the last the result is a table in the shared folder, which goes when
+    the next one stands; the last reads the fourth's.
+
+    A null text counts as empty: quality rules reject it, as they do texts of fewer than 50 words. Repeated rows are
+    judged alike and one stays; documents without id are none's copies. Columns that the stages don't know pass through,
+    whatever their names. An empty table gives no rows.
+    """
+    tables = shared.Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = tables.write(f"pipeline-{k}", stage(spark, docs, sf_dir))
+        tables.drop(f"pipeline-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,9 +8,10 @@
 3. Boosted trees score proposed spans by format and context. They are fitted to EXAMPLES, snippets labelled by hand, on
    the driver, and come back as a native expression. No count of the corpus enters: a document's spans are the same in
    a table of any size.
-4. Per kind, the least score is chosen at which the labelled spans above it are good with ``PRECISION`` or more. That is
-   a figure of the snippets they were fitted to, no calibration on real documents: nothing is labelled there.
-   Proposed spans above it are redacted beside the base spans.
+4. Scores are calibrated on snippets that the trees which score them haven't seen: the snippets of a kind are dealt into
+   ``FOLDS`` parts, each is scored by trees fitted to the others, and a logistic curve through these scores gives the
+   probability that a span is good. Proposed spans of ``LEAST_PROBABILITY`` or more are redacted beside the base spans.
+   That is a calibration on the labelled snippets, not on real documents: nothing is labelled there.
 
 Positions count code points; ends are exclusive.
 """
@@ -91,8 +92,10 @@ N_FEATURES = 12
 ROUNDS = 30
 SHRINK = 0.3
 PRIOR = 1.0
-#: Least share of good ones among the labelled spans above the threshold.
-PRECISION = 0.99
+#: Parts that the snippets of a kind are dealt into for calibration.
+FOLDS = 8
+#: Least calibrated probability of a span that is redacted.
+LEAST_PROBABILITY = 0.7
 
 # The labelled set, by hand. A kind, a snippet, and the values in it that are of the kind; what else the
 # generators propose there isn't.
@@ -347,38 +350,71 @@ def _leaf(tree: tuple, bits: int) -> float:
     return high if bits >> feature & 1 else low
 
 
-def _threshold(cells: list[tuple[int, float, float]], trees: list[tuple], spare: float = 1.0) -> float:
-    """The least score at which the examples above it are good with PRECISION, by a bound that counts ``spare`` more
-    failures than were seen; infinite if there's none."""
-    ranked = sorted(((sum(_leaf(t, b) for t in trees), n, good) for b, n, good in cells), reverse=True)
-    best, n_all, good_all = math.inf, 0.0, 0.0
-    for k, (s, n, good) in enumerate(ranked):
-        n_all, good_all = n_all + n, good_all + good
-        last = k + 1 == len(ranked) or ranked[k + 1][0] < s
-        if last and good_all / (n_all + spare) >= PRECISION:
-            best = s
-    return best
+def _calibrate(scored: list[tuple[float, bool]]) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through (score, good) points, by Newton steps. Targets are drawn towards a
+    half as by one more example of each sort, so that a clean split gives no infinite slope."""
+    good = sum(g for _, g in scored)
+    yes, no = (good + 1) / (good + 2), 1 / (len(scored) - good + 2)
+    slope, offset = 1.0, 0.0
+
+    def loss(slope: float, offset: float) -> float:
+        return sum(math.log1p(math.exp(-abs(z))) + max(z, 0) - (yes if g else no) * z for z, g in ((slope * s + offset, g) for s, g in scored))
+
+    for _ in range(100):
+        g0 = g1 = h00 = h01 = h11 = 1e-9
+        for s, g in scored:
+            p = 1 / (1 + math.exp(-(slope * s + offset)))
+            d, w = p - (yes if g else no), p * (1 - p)
+            g0, g1, h00, h01, h11 = g0 + d * s, g1 + d, h00 + w * s * s, h01 + w * s, h11 + w
+        det = h00 * h11 - h01 * h01 + 1e-12
+        move = ((h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det)
+        step, now = 1.0, loss(slope, offset)
+        while step > 1e-6 and loss(slope - step * move[0], offset - step * move[1]) > now:
+            step /= 2
+        slope, offset = slope - step * move[0], offset - step * move[1]
+    return slope, offset
+
+
+def _cells(candidates: list[tuple[int, int, bool]]) -> list[tuple[int, float, float]]:
+    """(bits, examples, good ones) of (snippet, bits, good)."""
+    cells: dict[int, list[float]] = {}
+    for _, bits, good in candidates:
+        cell = cells.setdefault(bits, [0.0, 0.0])
+        cell[0] += 1
+        cell[1] += good
+    return sorted((b, n, good) for b, (n, good) in cells.items())
+
+
+def unseen_scores(candidates: list[tuple[int, int, bool]]) -> list[tuple[float, bool]]:
+    """Score and label of each candidate (snippet, bits, good) by trees fitted to the snippets of the other parts."""
+    part = {snippet: k % FOLDS for k, snippet in enumerate(sorted({c[0] for c in candidates}, key=lambda x: (x * 7919) % 1009))}
+    out = []
+    for k in range(FOLDS):
+        trees = _boost(_cells([c for c in candidates if part[c[0]] != k]))
+        out += [(sum(_leaf(t, bits) for t in trees), good) for snippet, bits, good in candidates if part[snippet] == k]
+    return out
 
 
 _fitted: dict[str, tuple[list[tuple], float]] = {}
 
 
+def examples(spark: SparkSession) -> dict[str, list[tuple[int, int, bool]]]:
+    """Of each kind the candidates that the generators propose in EXAMPLES: snippet, features, label."""
+    rows = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(text).alias("text")) for k, (_, text, _) in enumerate(EXAMPLES)])
+    found = {r.id: r for r in _proposed(spark.range(1).select(F.inline(rows))).collect()}
+    out: dict[str, list[tuple[int, int, bool]]] = {kind: [] for kind in KINDS}
+    for k, (kind, text, good) in enumerate(EXAMPLES):
+        out[kind] += [(k, c.bits, text[c.start : c.end] in good) for c in found[k][kind] if not c.base]
+    return out
+
+
 def fit(spark: SparkSession) -> dict[str, tuple[list[tuple], float]]:
     """Trees and threshold of each kind, from EXAMPLES alone; fitted once a process."""
     if not _fitted:
-        rows = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(text).alias("text")) for k, (_, text, _) in enumerate(EXAMPLES)])
-        found = {r.id: r for r in _proposed(spark.range(1).select(F.inline(rows))).collect()}
-        for kind in KINDS:
-            cells: dict[int, list[float]] = {}
-            for k, (of, text, good) in enumerate(EXAMPLES):
-                for c in found[k][kind] if of == kind else ():
-                    if not c.base:
-                        cell = cells.setdefault(c.bits, [0.0, 0.0])
-                        cell[0] += 1
-                        cell[1] += text[c.start : c.end] in good
-            table = sorted((b, n, good) for b, (n, good) in cells.items())
-            trees = _boost(table)
-            _fitted[kind] = (trees, _threshold(table, trees, spare=0.0))
+        for kind, candidates_ in examples(spark).items():
+            slope, offset = _calibrate(unseen_scores(candidates_))
+            least = (math.log(LEAST_PROBABILITY / (1 - LEAST_PROBABILITY)) - offset) / slope if slope > 0 else math.inf
+            _fitted[kind] = (_boost(_cells(candidates_)), least)
     return _fitted
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -116,5 +117,24 @@ def test_boosting_fits_cells():
     trees = pii._boost(cells)
     scores = {b: sum(pii._leaf(t, b) for t in trees) for b in range(8)}
     assert min(scores[1], scores[3]) > 1 > max(scores[b] for b in (0, 2, 4, 5, 6, 7))
-    assert pii._threshold(cells, trees) == float("inf")
-    assert pii._threshold([(1, 1000.0, 999.0), (0, 1000.0, 3.0)], pii._boost([(1, 1000.0, 999.0), (0, 1000.0, 3.0)])) > 0
+
+
+def test_calibration_is_on_unseen_snippets(spark):
+    """Trees score what they weren't fitted to; above the threshold nearly all is good, and most that is good is above."""
+    good = chosen = right = 0
+    for kind, found in pii.examples(spark).items():
+        scored = pii.unseen_scores(found)
+        assert len(scored) == len(found)
+        slope, offset = pii._calibrate(scored)
+        assert slope > 0
+        above = [g for s, g in scored if 1 / (1 + math.exp(-(slope * s + offset))) >= pii.LEAST_PROBABILITY]
+        good, chosen, right = good + sum(g for _, g in scored), chosen + len(above), right + sum(above)
+    assert right >= 0.9 * chosen and right >= 0.85 * good and chosen > 30
+
+
+def test_calibration_gives_shares():
+    points = [(x / 10, k < 100 / (1 + math.exp(-(2 * x / 10 - 1)))) for x in range(-30, 31) for k in range(100)]
+    slope, offset = pii._calibrate(points)
+    assert abs(slope - 2) < 0.1 and abs(offset + 1) < 0.1
+    assert all(abs(v) < 50 for v in pii._calibrate([(1.0, True)] * 5 + [(-1.0, False)] * 5))
+    assert all(map(math.isfinite, pii._calibrate([])))

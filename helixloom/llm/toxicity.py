@@ -23,16 +23,16 @@ TRAIN_PER_CLASS = 3000
 BITS = 20
 #: Bytes of word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5)
-#: A feature is learnt if the likelihood-ratio statistic of its documents' labels is this or more: copies of a few toxic
-#: documents share all their rare words, and these tell nothing of others. It grows by LEAST_SHARE a labelled document.
-LEAST_EVIDENCE = 20.0
-LEAST_SHARE = 0.01
+#: A feature is learnt if the likelihood-ratio statistic of its documents' labels is this or more, whatever their number:
+#: copies of a few toxic documents share all their rare words, and these tell nothing of others.
+LEAST_EVIDENCE = 25.0
 EPOCHS = 300
 RATE = 0.1
 #: Of the squared weights in the loss, whose documents weigh 1 in all.
 DECAY = 1e-5
-#: The bias begins here and is drawn back by BIAS_PULL: documents of many clean sentences must stay clean.
-BIAS = -8.0
+#: The bias begins here and is drawn back by BIAS_PULL. Plain sentences don't count, so it needn't be so low that a
+#: toxic word that stands alone in its sentence can't make up for it.
+BIAS = -4.0
 BIAS_PULL = 0.05
 THRESHOLD = 0.7
 
@@ -95,7 +95,7 @@ def _telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
     def term(k, p):
         return k * np.log(np.maximum(k, 1e-12) / np.maximum(n * p, 1e-12))
 
-    return (2 * (term(toxic, share) + term(clean, 1 - share)) >= max(LEAST_EVIDENCE, LEAST_SHARE * (n_toxic + n_clean))) & (toxic > n * share)
+    return (2 * (term(toxic, share) + term(clean, 1 - share)) >= LEAST_EVIDENCE) & (toxic > n * share)
 
 
 def train(texts: list[str], labels: np.ndarray) -> np.ndarray:
@@ -156,8 +156,9 @@ def score_column(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = [np.zeros(0)]
     for block in blocks.blocks(column, lower=True):
         features, sentence, doc = _features(block)
-        pairs = sentence[:, None] * (1 << BITS) + features
-        pairs = np.unique(pairs[features > 0])
+        # few features are learnt: only these are made distinct within their sentences
+        word, column = np.nonzero((features > 0) & (weights[features] != 0))
+        pairs = np.unique(sentence[word] * (1 << BITS) + features[word, column])
         logits = _logits(pairs, weights, len(doc))
         out.append(-np.expm1(_noisy_or(logits, doc, block.n_docs)))
     return np.clip(np.concatenate(out), 0.0, 1.0)
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. A null text counts as empty; the score of a text doesn't
-    depend on its row. A null id counts as not held out."""
+    depend on its row, so repeated rows score alike. A null id counts as not held out. An empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

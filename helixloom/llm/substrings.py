@@ -3,10 +3,11 @@
 Windows are found by anchors: of the 26 runs of 25 words in a window, the leftmost of least hash. Equal windows have
 equal anchors, so an anchor's count is never less than a window's; a document has one anchor for about 13 windows.
 
-1. Count-min prefilter. Each partition sketches its anchors: for each of ``DEPTH`` rows a cell of the anchor's hash,
-   with the number of documents. The sketches are sparse, so they merge by a sum a cell, their width costs nothing and
-   they grow with the input as no dense one of a set size may. A window's count is estimated as the least of its
-   anchor's cells; no estimate is too small.
+1. Count-min prefilter. A sketch has ``DEPTH`` rows of cells, ``CELLS`` or more to each anchor that the input's bytes let
+   expect, so that it fills alike at every size. Each partition sketches its anchors, a count of documents a cell, where
+   two stands for two or more; the partition sketches travel in slices of 2^``SLICE_BITS`` cells and merge slice by slice,
+   so no task holds more than a slice. A window's count is estimated as the least of its anchor's cells; no estimate is
+   too small.
 2. Second pass. Anchors estimated in two documents or more stay, with the stretch of words that their windows cover.
    Stretches of one hash are equal, windows and all: but for the least document, they go entirely. Of anchors with
    several different stretches, the least document's of each meet window by window. Both groupings are exact: keys are
@@ -17,8 +18,10 @@ equal anchors, so an anchor's count is never less than a window's; a document ha
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,11 @@ from . import blocks, shared
 WINDOW = 50
 GRAM = 25
 DEPTH = 2
-#: log2 of the cells of a row.
-CELL_BITS = 36
+#: Cells of a row for each expected anchor; text has about one in ANCHOR_BYTES.
+CELLS, ANCHOR_BYTES = 4, 78
+SLICE_BITS = 20
+#: Cells that a partition holds before it sends them on.
+HELD = 1 << 22
 #: Bits for the place of a word in a block: a row of Arrow text has less than 2^31 bytes, so fewer words than 2^30.
 PLACE_BITS = 30
 _U = np.uint64
@@ -73,24 +79,60 @@ def cells(anchor_hash: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
     return [(blocks.mix(anchor_hash ^ (_SALTS[k % 2] + _U(k))) >> _U(64 - bits)).view(np.int64) for k in range(depth)]
 
 
+def row_bits(docs: DataFrame) -> int:
+    """log2 of the cells of a row, by the bytes of the texts."""
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(10, math.ceil(math.log2(CELLS * n / ANCHOR_BYTES + 1)))
+
+
+def _packed(parts: list[np.ndarray]) -> np.ndarray:
+    """The cells of several sketches as one: sorted, those of two or more documents twice."""
+    cell, n = np.unique(np.concatenate(parts), return_counts=True)
+    return np.repeat(cell, np.minimum(n, 2))
+
+
+def _merged(parts: pd.DataFrame) -> pd.DataFrame:
+    """Of one slice the cells of two documents or more."""
+    cell = _packed([np.frombuffer(x, "<u4") for x in parts["cells"]])
+    often = cell[1:][cell[1:] == cell[:-1]].astype(np.int64) + (int(parts["slice"].iloc[0]) << SLICE_BITS)
+    return pd.DataFrame({"row": np.full(len(often), parts["row"].iloc[0], np.int8), "cell": often})
+
+
 def sketch(docs: DataFrame, window: int, gram: int, depth: int, bits: int) -> DataFrame:
     """row, cell of the merged sketch with a count of two documents or more."""
+    low = (1 << SLICE_BITS) - 1
 
-    def make(batch: pa.RecordBatch):
-        for block in blocks.blocks(batch.column(2)):
-            found = _anchors(block, window, gram)
-            if found is None:
+    def send(held: list[list[np.ndarray]]):
+        for row, parts in enumerate(held):
+            if not parts:
                 continue
-            doc, hashes = found[0], found[4]
-            order = np.lexsort((hashes, doc))
-            doc, hashes = doc[order], hashes[order]
-            once = np.ones(len(doc), bool)
-            once[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-            for row, cell in enumerate(cells(hashes[once], depth, bits)):
-                cell, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), row, np.int8)), pa.array(cell), pa.array(n.astype(np.int64))], ["row", "cell", "n"])
-
-    return shared.arrow_map(docs, make, "row byte, cell long, n long").groupBy("row", "cell").agg(F.sum("n").alias("n")).filter("n > 1").select("row", "cell")
+            cell = _packed(parts)
+            edges = np.flatnonzero(np.append(True, (cell[1:] >> SLICE_BITS) != (cell[:-1] >> SLICE_BITS)))
+            blobs = [x.astype("<u4").tobytes() for x in np.split(cell & low, edges[1:])]
+            slices = cell[edges] >> SLICE_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), row, np.int8)), pa.array(slices), pa.array(blobs, pa.binary())], ["row", "slice", "cells"])
+
+    def run(batches):
+        held, n = [[] for _ in range(depth)], 0
+        for batch in batches:
+            for block in blocks.blocks(batch.column(2)):
+                found = _anchors(block, window, gram)
+                if found is None:
+                    continue
+                doc, hashes = found[0], found[4]
+                order = np.lexsort((hashes, doc))
+                doc, hashes = doc[order], hashes[order]
+                once = np.ones(len(doc), bool)
+                once[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+                for row, cell in enumerate(cells(hashes[once], depth, bits)):
+                    held[row].append(_packed([cell]))
+                    n += len(held[row][-1])
+                if n > HELD:
+                    yield from send(held)
+                    held, n = [[] for _ in range(depth)], 0
+        yield from send(held)
+
+    return docs.mapInArrow(run, "row byte, slice long, cells binary").groupBy("row", "slice").applyInPandas(_merged, "row byte, cell long")
 
 
 def stretches(docs: DataFrame, window: int, gram: int, depth: int, bits: int) -> DataFrame:
@@ -152,11 +194,11 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     return shared.arrow_map(texts, make, "doc_id long, tag int, anchor long, place int, h long, start int")
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, bits: int = CELL_BITS) -> DataFrame:
+def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, bits: int | None = None) -> DataFrame:
     """doc_id, tag, low, high: word places [low, high) to remove; they may overlap. ``docs`` has doc_id, tag (a hash of
     the text, which tells texts of one doc_id apart) and text."""
     known = docs.filter("doc_id is not null")
-    tables = shared.Tables(docs.sparkSession)
+    tables, bits = shared.Tables(docs.sparkSession), bits or row_bits(known)
     often = tables.write("window-sketch", sketch(known, window, gram, depth, bits))
     found = stretches(known, window, gram, depth, bits)
     for k in range(depth):

@@ -51,6 +51,24 @@ def test_equals_brute_force(spark, seed, bits):
     assert got(substrings.digests(docs, window=12, gram=5, bits=bits)) == brute(rows, 12)
 
 
+def test_sketch_never_counts_too_little():
+    """Merged partition sketches of cells estimate two or more wherever two partitions, or one twice, have the cell."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(2)
+    parts = [rnd.integers(0, 500, 300) for _ in range(5)]
+    blobs = [substrings._packed([p]).astype("<u4").tobytes() for p in parts]
+    got = substrings._merged(pd.DataFrame({"row": [1] * 5, "slice": [3] * 5, "cells": blobs}))
+    cell, n = np.unique(np.concatenate(parts), return_counts=True)
+    assert sorted(got["cell"] - (3 << substrings.SLICE_BITS)) == sorted(cell[n > 1])
+
+
+def test_sketch_width_follows_the_input(spark, no_docs):
+    docs = spark.range(1000).selectExpr("id doc_id", "repeat('word ', 780) text")
+    assert substrings.row_bits(docs) == 18 and substrings.row_bits(no_docs) == 10
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = [tuple(r) for r in edge_docs.select("doc_id", "text").collect()]
     rows += [(20, "word " * 60), (21, "other " + "word " * 49), (22, "word " * 49)]

@@ -1,7 +1,7 @@
 """Main text of pages by a tree-structured graphical model.
 
 Each block element of a page is a node that is content or not. Its own evidence (element, names, length, share of link
-text, final stops) gives a node potential; each parent and child share a pair potential, so that what stands in an
+text, final stops, its share of the page's text) gives a node potential; each parent and child share a pair potential, so that what stands in an
 article is likely content and what stands in a menu isn't. Messages pass once from the leaves up and once back down
 (sum-product); they give every node's exact marginal, and text of nodes above one half is the main text.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .htmltree import INLINE, RAW, Node, parse, tidy
+from .htmltree import BLOCK, SILENT, Node, parse, tidy
 
 #: Names, in class, id, role or label, that are evidence of their own.
 NAME_KINDS = {
@@ -37,46 +37,77 @@ NAME_KINDS = {
 }
 _KIND_OF = {word: kind for kind, words in NAME_KINDS.items() for word in words}
 _WORD = re.compile(r"[a-z]+(?:-ad)?")
+#: Boxes that seldom have text of their own.
+BOXES = frozenset("#root html body center div td section main article".split())
 SECTIONS = frozenset("article main aside nav footer header section form".split())
-#: Elements that never hold main text, whatever the model says.
-NEVER = RAW | frozenset("head form select button input option nav aside footer object embed canvas audio video dialog".split())
+#: Elements that are never main text by what is asked for: menus, sidebars, footers, controls, the page's head.
+NEVER = SILENT | frozenset("head select nav aside footer".split())
+#: Names that are used for anything, and say less than a name of content beside them.
+WEAK = frozenset("more bottom popular rail notice alert meta tags follow skip tabs header banner reply popup".split())
 
 
 def _kinds(node: Node) -> list[str]:
-    return sorted({_KIND_OF[w] for w in _WORD.findall(node.names) if w in _KIND_OF}) if node.names else []
+    """Kinds of name; a weak name beside one of content doesn't count, and alone is a kind of its own."""
+    if not node.names:
+        return []
+    words = {w for w in _WORD.findall(node.names) if w in _KIND_OF}
+    strong = {_KIND_OF[w] for w in words - WEAK}
+    weak = {f"maybe-{_KIND_OF[w]}" for w in words & WEAK}
+    return sorted(strong if "content" in strong else strong | {w for w in weak if w[6:] not in strong})
 
 
 def _features(node: Node) -> list[str]:
-    own, links, length, under = node.data
+    own, links, length, under, share, linked, bare = node.data
     out = [f"tag={node.tag}", f"under={under}"]
     out += [f"name={k}" for k in _kinds(node)]
     out.append(f"length={min(6, int(math.log2(1 + length) / 2))}")
     if length:
         out.append(f"links={min(3, int(4 * links / length))}")
         out.append(f"stop={own.rstrip()[-1:] in '.!?…»”' if own.strip() else 'none'}")
+    # a box named for something else may hold much text all the same
+    named = under in NAME_KINDS and under != "content"
+    out.append(f"below={linked}")
+    out.append(f"share={share} below={linked} named={named}")
+    if length and node.tag in BOXES:
+        out.append(f"bare={bare} named={named}")
     return out
 
 
-def block_nodes(root: Node) -> list[Node]:
-    """Block elements in page order, parents before children. Each one's data: its own text (with that of inline
-    elements in it), the characters of that in links, its length, and the section or kind of name it stands under."""
-    order: list[Node] = []
-    stack = [root]
+def _nodes(root: Node) -> list[Node]:
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        if node.tag not in RAW:
-            stack.extend(_children(node))
+        stack.extend(_children(node))
+    return order
+
+
+def block_nodes(root: Node) -> list[Node]:
+    """Block elements in page order, parents before children. Each one's data: its own text (with that of inline
+    elements in it), the characters of that in links, its length, the section or kind of name it stands under; of all
+    text in and below it the share of the page's and that of links, and of its own text the share of the page's, in
+    quarters."""
+    order = _nodes(root)
     for node in order:
-        own, links = ([], 0) if node.tag in RAW else _own(node)
+        own, links = _own(node)
         text = tidy("".join(own))
         up, kinds = parent_block(node), _kinds(node)
         under = node.tag if node.tag in SECTIONS else up.data[3] if up is not None else "page"
-        if kinds and kinds != ["content"]:
-            under = next(k for k in kinds if k != "content")
-        elif kinds and under in ("page", *SECTIONS):
+        telling = [k for k in kinds if not k.startswith("maybe-")]
+        if telling and telling != ["content"]:
+            under = next(k for k in telling if k != "content")
+        elif telling and under in ("page", *SECTIONS):
             under = "content"
         node.data = (text, links, len(text), under)
+    mass = {id(n): [0, 0] if n.tag in NEVER else [n.data[2], n.data[1]] for n in order}
+    for node in reversed(order[1:]):
+        if node.tag not in NEVER:
+            up = mass[id(parent_block(node))]
+            up[0], up[1] = up[0] + mass[id(node)][0], up[1] + mass[id(node)][1]
+    total = max(1, mass[id(root)][0])
+    for node in order:
+        size, links = mass[id(node)]
+        node.data += ("none" if not size else min(3, 4 * size // total), "none" if not size else min(3, 4 * links // size), min(3, 4 * node.data[2] // total))
     return order
 
 
@@ -88,13 +119,13 @@ def _children(node: Node) -> list[Node]:
         if isinstance(x, Node):
             if _joins(x):
                 stack.extend(x.items)
-            else:
+            elif x.tag not in SILENT:
                 found.append(x)
     return found
 
 
 def _joins(node: Node) -> bool:
-    return node.tag in INLINE
+    return node.tag not in BLOCK and node.tag not in SILENT and node.tag != "#root"
 
 
 def _own(node: Node) -> tuple[list[str], int]:
@@ -111,7 +142,7 @@ def _own(node: Node) -> tuple[list[str], int]:
         elif _joins(x):
             inside = linked or x.tag == "a"
             stack.extend((y, inside) for y in reversed(x.items))
-        else:
+        elif x.tag not in SILENT:
             out.append(" ")
     return out, links
 
@@ -135,17 +166,20 @@ class Model:
     the messages give."""
 
     def __init__(self, pages: list[str]):
+        """Labels: label-yes and label-no in a class; a page that begins with ``ROOT_YES`` is content itself, as plain
+        text is."""
         self.weight: dict[str, float] = {}
         self.pair = [[0.0, -1.0], [-1.0, 0.0]]
         labelled = []
         for html in pages:
-            order = block_nodes(parse(html))
-            state: dict[int, int] = {}
+            root = parse(html.removeprefix(ROOT_YES))
+            order, state = _nodes(root), {}
             for node in order:
                 up = parent_block(node)
                 mark = re.search(r"\blabel-(yes|no)\b", node.names)
-                state[id(node)] = int(mark[1] == "yes") if mark else (state[id(up)] if up is not None else 0)
+                state[id(node)] = int(mark[1] == "yes") if mark else (state[id(up)] if up is not None else int(html.startswith(ROOT_YES)))
                 node.names = re.sub(r"\blabel-(yes|no)\b", "", node.names)
+            order = block_nodes(root)
             labelled.append((order, [state[id(n)] for n in order], [_features(n) for n in order]))
         size: Counter = Counter()
         pair_size = 1e-6
@@ -219,6 +253,8 @@ def _log_add(a: float, b: float) -> float:
 _P = "<p>Some sentence of an article stands here, long enough to look like prose. Then comes another sentence, and a third one ends it.</p>"
 _S = "<p>A short line.</p>"
 _LINKS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "World", "Sport", "About us", "Contact"))
+_T = "Some sentence of a page stands here, long enough to look like prose. Then comes another sentence, and a third one ends it."
+ROOT_YES = "label-yes:"
 _HEAD = "<!DOCTYPE html><html><head><meta charset=utf-8><title>A title</title><style>p{}</style><script>var a='</p>';</script></head>"
 
 #: Labelled pages: label-yes and label-no in a class mark an element and all below it until another mark.
@@ -246,6 +282,46 @@ for _kind, _words in NAME_KINDS.items():
             TRAINING_PAGES += [f"{_HEAD}<body>{_bare}{_art}{_full}</body></html>", f"{_HEAD}<body>{_full}{_main}{_bare}</body></html>"]
 
 
+#: Weak names on the box that holds nearly all text, and text without any names: boxes in boxes, bare text, fragments.
+for _name in sorted(WEAK):
+    TRAINING_PAGES += [
+        f'{_HEAD}<body><div><ul>{_LINKS}</ul></div><div class="label-yes {_name}"><h1>Title</h1>{_P * 3}{_S}</div><div>&copy; Site</div></body></html>',
+        f'{_HEAD}<body><div class="label-yes {_name}"><div>{_P * 2}<blockquote>{_P}</blockquote></div></div></body></html>',
+    ]
+for _k in (1, 2, 4):
+    TRAINING_PAGES += [
+        f"{_HEAD}<body><div><a href=/>Site</a> <a href=/b>Blog</a></div><div><ul>{_LINKS}</ul></div><div class=label-yes><h1>Title of the page</h1>{_P * _k}{_S}<ul><li>A point of some words.</li><li>Another point.</li></ul></div><div><p>&copy; 2020 Site. All rights reserved.</p></div></body></html>",
+        f"{_HEAD}<body><div><div><div class=label-yes>{_P * _k}</div></div></div></body></html>",
+        f"<div class=label-yes>{_P * _k}</div>",
+        f"{_HEAD}<body><div><a href=/>Home</a> | <a href=/b>World</a> | <a href=/c>Sport</a></div><div><div class=label-yes>{_P * _k}</div></div><div>Copyright 2020 Site</div></body></html>",
+        f"{_HEAD}<body><div><div><h1>The site</h1></div><div><div class=label-yes>{_P * _k}</div></div><div class='label-no side'><ul>{_LINKS}</ul><p>About the site. It has pages.</p></div></div></body></html>",
+        f"{_HEAD}<body><div class='label-no cookie'>{_P * _k}</div><article class=label-yes><h1>Title</h1>{_P}<div class='label-no ad'>{_P}</div><ul><li>One point.</li><li>Two points.</li></ul></article><section class='label-no comments'>{_P * _k}</section></body></html>",
+        f"{_HEAD}<body><div><ul>{_LINKS}</ul></div><table><tr><td><ul>{_LINKS}</ul></td><td class=label-yes>{_T}<br><br>{_T * _k}</td></tr></table></body></html>",
+        f"{_HEAD}<body class=label-yes>{_T * _k}<br><br>{_T}</body></html>",
+        f"{_HEAD}<body class=label-yes><h1>Title</h1>{_P * _k}<pre>some code</pre>{_S}</body></html>",
+        ROOT_YES + _T * _k,
+        f"{ROOT_YES}<h1>Title</h1>{_P * _k}",
+        f"{ROOT_YES}{_T}<p>{_T * _k}</p>",
+        f"{_HEAD}<body><form><div><ul>{_LINKS}</ul></div><div class=label-yes><h1>Title</h1>{_P * _k}{_S}</div><input></form></body></html>",
+        f"{_HEAD}<body><article class=label-yes><h1>Title</h1>{_P * (_k + 1)}<form class=label-no><p>Leave your name and tell us what you think of it.</p><p>Your name</p><input></form>{_P}</article><form><p>Search the whole site for what you need.</p><input></form></body></html>",
+    ]
+for _k in (1, 2, 3):
+    _list = f"<div><ul>{_LINKS}</ul></div>"
+    TRAINING_PAGES += [
+        f"{_HEAD}<body>{_list * _k}</body></html>",
+        f"<body>{_list * _k}<div>{_LINKS}</div></body>",
+        f"{_HEAD}<body><div class='label-no comments'>{_P * _k}</div><section class=label-yes><h2>Part</h2>{_P * (_k + 1)}</section><section class=label-yes>{_P}</section></body></html>",
+        f"{_HEAD}<body><section class=label-yes>{_P * _k}</section><section class='label-no comments'>{_P}</section></body></html>",
+        f"{_HEAD}<body><div class=label-yes>{_P}</div><div class='label-no newsletter'>{_P}</div><div class=label-yes>{_P * _k}</div><div class='label-no advert'>{_S}</div><div class=label-yes>{_P}</div></body></html>",
+        f"{_HEAD}<body><center class=label-yes><font>{_T * _k}</font></center></body></html>",
+        f"<body class=label-yes>{_T * _k}</body>",
+        f"<body class=label-yes>{_T}<p>{_T * _k}</p></body>",
+        ROOT_YES + _T[:60] * _k,
+        ROOT_YES + "A few words" * _k,
+    ]
+TRAINING_PAGES += [f"{_HEAD}<body><ul>{_LINKS}</ul></body></html>", f"{_HEAD}<body><div><a href=/a>One</a> <a href=/b>Two</a></div><div><ul>{_LINKS}</ul></div></body></html>", f"<ul>{_LINKS}</ul>"]
+
+
 @lru_cache(maxsize=1)
 def model() -> Model:
     return Model(TRAINING_PAGES)
@@ -296,7 +372,7 @@ def _emit(root: Node, chosen: dict[int, bool | None], out: list[str]) -> None:
                 words.append(x)
         elif _joins(x):
             stack.extend(("open", y, keep) for y in reversed(x.items))
-        else:
+        elif x.tag not in SILENT:
             close()
             mine = chosen.get(id(x))
             if mine is None:

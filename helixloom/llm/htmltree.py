@@ -11,8 +11,11 @@ from html import unescape
 
 # Element names of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe noframes template".split())
+#: Elements that begin a block; all others, unknown ones too, run on in the text around them.
+BLOCK = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav noframes ol optgroup option p plaintext pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
+#: Elements without text of the page, which may stand within a block of it.
+SILENT = RAW | frozenset("button datalist embed input link meta param progress meter".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind is ended by a start tag of the second.
 ENDED_BY = {
@@ -77,7 +80,7 @@ def parse(html: str) -> Node:
             open_ = now
             while open_ is not root and open_.tag != tag:
                 # an inline end tag doesn't end a block around it
-                if tag in INLINE and open_.tag not in INLINE:
+                if tag not in BLOCK and open_.tag in BLOCK:
                     open_ = root
                     break
                 open_ = open_.parent
@@ -93,7 +96,7 @@ def parse(html: str) -> Node:
                 continue
             if place.tag in SCOPE and place.tag not in ENDED_BY:
                 break
-            if place.tag in INLINE or place.tag in ENDED_BY or place.tag in HEADINGS:
+            if place.tag not in BLOCK or place.tag in ENDED_BY or place.tag in HEADINGS:
                 place = place.parent
                 continue
             break

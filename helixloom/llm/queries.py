@@ -86,4 +86,13 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_personal_data, op3_byte_bpe, op4_quality_rules, op5_token_files, op6_toxicity, op7_substring_dedup, op8_html_text, op9_token_counts, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be expressed: components, trees, tokenizers, robust estimates, files, noisy-or, DOM trees, edit search.
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+      windows AS (SELECT r, doc_id, k, array_to_string(w[k : k + 49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+      least AS (SELECT g, min(doc_id) AS m FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+      gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(k, k + 50)) AS p FROM windows JOIN least USING (g) WHERE doc_id > m)),
+      word AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+      kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+      SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+}

@@ -16,8 +16,9 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``. Where it is unset, a local session gets a local one;
-    a cluster's session is refused, since its executors don't see each other's folders."""
+    """The folder all executors see, from ``spark.checkpoint.dir``, with its file system's name: what isn't Spark must not
+    take a shared path for a local one. Where it is unset, a local session gets a local folder; a cluster's session is
+    refused, since its executors don't see each other's folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
@@ -25,7 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if ":" not in found:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(found)
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", found).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -103,7 +103,7 @@ def count_sections(docs: DataFrame, path: str, pattern: str, rule: str = "share"
 
 def count_fields(rows: DataFrame, id_column: str, fields: list[str], path: str, pattern: str, joint: str = "\n", rule: str = "share") -> DataFrame:
     """Per row its id, n_tokens of the fields joined by ``joint``, and ``tokens`` of each field (a joint belongs to the
-    field before it). A null field counts as empty."""
+    field before it). A null field counts as empty. Repeated rows give repeated rows; an empty table gives none."""
     kind = rows.schema[id_column].dataType.simpleString()
     source = rows.select(F.col(id_column).alias("id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)])
 

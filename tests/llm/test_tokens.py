@@ -137,3 +137,11 @@ def test_field_counts(spark):
         assert sum(r.tokens) == r.n_tokens and len(r.tokens) == 3
         if r.id == 1:
             assert r.tokens[0] >= 2 and r.tokens[1] >= 3 and r.tokens[2] == 0
+
+
+def test_fields_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, None, None, 7), (1, None, None, 7), (None, "x", "", 8), (2, "", "y z", 9)], "id long, title string, body string, tokens int")
+    path = P.path("byte_bpe_50k.tiktoken")
+    got = sorted(((r.id, r.n_tokens, sum(r.tokens)) for r in tokencounts.count_fields(rows, "id", ["title", "body"], path, P.PATTERN).collect()), key=repr)
+    assert len(got) == 4 and got.count(got[0]) == 2 and all(n == k for _, n, k in got)
+    assert tokencounts.count_fields(rows.filter("false"), "id", ["title"], path, P.PATTERN).count() == 0

@@ -76,6 +76,11 @@ def log_risk(effect="odds_ratio", status="risk_status", population="population_s
     return F.when(col(effect) > 0, F.ln(col(effect))) * col(status) - col(population)
 
 
+def rsid_of(number) -> Column:
+    """The identifier of a variant that is given by its number alone."""
+    return F.concat(F.lit("rs"), col(number).cast("string"))
+
+
 def allele_after_dash(text) -> Column:
     """What follows the first dash; null if nothing does."""
     return F.nullif(F.regexp_extract(col(text), "-(.*)", 1), F.lit(""))

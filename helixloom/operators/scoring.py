@@ -52,7 +52,8 @@ def trait_scores(full: DataFrame) -> DataFrame:
         .groupBy("sample_id", "trait")
         .agg(
             F.sum("final_risk").alias("final_risk"),
-            F.count_distinct("chromosome").alias("n_chromosomes"),
+            # a set of two dozen at most: a distinct count would aggregate in four phases
+            F.size(F.collect_set("chromosome")).cast("long").alias("n_chromosomes"),
             F.min_by("is_or", F.when(F.col("is_or").isNotNull(), F.col("row_id"))).alias("is_or"),
             F.sum("population_score").alias("population_score"),
             expr.distinct_csv("pmid").alias("pmid"),

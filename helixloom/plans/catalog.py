@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import curation, scoring
-from ..sources import fixtures, readers, schemas
+from ..sources import alleles, fixtures, readers, schemas
 from . import views
 from .oracle import ORACLE_SQL  # noqa: F401  the SQL of the same names
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SCORE, PERCENT = 6, 4
+#: The key set of the lookup query.
+LOOKED_UP = ["rs1000001", "rs1000007", "rs1000042", "rs1000100", "rs1000101", "rs1"]
 
 
 def rounded(df: DataFrame, **places: int) -> DataFrame:
@@ -144,11 +146,21 @@ def percentile_histogram(spark, sf):
     return views.percentile_histogram(_prs(spark, sf))
 
 
-def allele_lookup(spark, sf):
-    gwas = fixtures.gwas(spark, sf)
+def _allele_dimension(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     dimension = part.select(F.concat(F.lit("rs"), (1000000 + F.col("p_partkey")).cast("string")).alias("refsnp_id"), F.when(F.col("p_partkey") % 2 == 0, "A/G").otherwise("C/T").alias("allele"), (F.col("p_partkey") * 1000).cast("long").alias("chrom_start"), F.when(F.col("p_size") > 25, 1).otherwise(-1).alias("chrom_strand"))
-    return curation.allele_lookup(gwas, dimension)
+    return dimension
+
+
+def allele_lookup(spark, sf):
+    return curation.allele_lookup(fixtures.gwas(spark, sf), _allele_dimension(spark, sf))
+
+
+def allele_source(spark, sf):
+    """A set of keys looked up through the connector, which opens their buckets alone."""
+    folder = readers.scratch(spark, "alleles")
+    alleles.write_store(_allele_dimension(spark, sf), folder)
+    return alleles.read_store(spark, folder).filter(F.col("refsnp_id").isin(LOOKED_UP))
 
 
 def has_trait(spark, sf):
@@ -229,6 +241,6 @@ _ALL = (
     prs_trait, full_scored, scan_catalogue, scan_calls, risk_status_counts, trait_counts, category_radar, sunburst_rollup, disease_overview, density_curve, trait_report, trait_detail, sports_join, popular_snps,
     cvd_split, hypertension_sum, lipid_sum, other_markers, rare_blocks, rare_genotypes, rare_mutations, trait_choices, trait_overview, curated_catalogue, category_counts, status_share, percentile_histogram,
     allele_lookup, has_trait, superpopulation_regions, sport_scores, power_endurance, category_lookup, normal_grid,
-    plain_trait_scores, files_calls, files_catalogue, files_prs, files_raw_catalogue, files_sports,
+    plain_trait_scores, files_calls, files_catalogue, files_prs, files_raw_catalogue, files_sports, allele_source,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

@@ -164,6 +164,8 @@ ORACLE_SQL: dict[str, str] = {
     "percentile_histogram": f"WITH {PRS} SELECT least(floor(round(percentile, 4) * 20 / 100), 19)::INT AS bin, count(*) AS n FROM prs GROUP BY 1",
     "allele_lookup": f"""WITH {GWAS} SELECT 'rs' || (1000000 + p_partkey) AS refsnp_id, CASE WHEN p_partkey % 2 = 0 THEN 'A/G' ELSE 'C/T' END AS allele, (p_partkey * 1000)::BIGINT AS chrom_start, CASE WHEN p_size > 25 THEN 1 ELSE -1 END AS chrom_strand
       FROM part WHERE 'rs' || (1000000 + p_partkey) IN (SELECT rsid FROM gwas)""",
+    "allele_source": """SELECT 'rs' || (1000000 + p_partkey) AS refsnp_id, CASE WHEN p_partkey % 2 = 0 THEN 'A/G' ELSE 'C/T' END AS allele, (p_partkey * 1000)::BIGINT AS chrom_start, CASE WHEN p_size > 25 THEN 1 ELSE -1 END AS chrom_strand
+      FROM part WHERE 1000000 + p_partkey IN (1000001, 1000007, 1000042, 1000100, 1000101, 1)""",
     "has_trait": f"WITH {PRS} SELECT sample_id, bool_or(trait = 'Melanoma') AS found, max(CASE WHEN trait = 'Melanoma' THEN string_split(rsid, ',')[1] END) AS first_rsid FROM prs GROUP BY 1",
     "superpopulation_regions": "SELECT superpopulation, corner, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM " + _values([(n, k, a, b) for n, c in ref.SUPERPOPULATIONS.items() for k, (a, b) in enumerate(c)], "superpopulation, corner, lat, lon"),
     "sport_scores": "SELECT * FROM " + _values(ref.SPORT_SCORES, "sport, genetic_score"),

@@ -43,7 +43,7 @@ def _pick(values: list, index):
 
 
 def _rsid(k):
-    return F.when(k < len(NAMED_RSIDS), _pick(NAMED_RSIDS, F.least(k, F.lit(len(NAMED_RSIDS) - 1)))).otherwise(F.concat(F.lit("rs"), (1000000 + k).cast("string")))
+    return F.when(k < len(NAMED_RSIDS), _pick(NAMED_RSIDS, F.least(k, F.lit(len(NAMED_RSIDS) - 1)))).otherwise(expr.rsid_of(1000000 + k))
 
 
 def gwas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     path = f"{(shared or '/tmp/checkpoints').rstrip('/')}/helixloom/{label}-{uuid.uuid4().hex}"
+    at, files = _place(spark, path)
+    path = re.sub("^file:/+", "file:///", files.makeQualified(at).toString())  # what isn't Spark needs the scheme
 
     def remove() -> None:
         try:

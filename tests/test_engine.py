@@ -188,6 +188,24 @@ def test_plain_scores(spark):
     assert row.final_risk == pytest.approx(math.log(2) + 2 * math.log(3) - 0.1)
 
 
+def test_lookup_opens_the_buckets_of_its_keys_alone(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from helixloom.sources import alleles
+
+    rows = [(f"rs{k}", "A/G" if k else None, k * 10, 1) for k in range(300)] + [(None, "A", 1, 1)]
+    alleles.write_store(spark.createDataFrame(rows, alleles.SCHEMA), str(tmp_path / "store"), 16)
+    store = alleles.read_store(spark, str(tmp_path / "store"), 16)
+    assert sorted(map(tuple, store.collect()), key=repr) == sorted(rows[:-1], key=repr)
+    got = store.filter(F.col("refsnp_id").isin("rs0", "rs5", "rs9", "none")).filter("chrom_start < 60")
+    assert sorted(map(tuple, got.collect())) == [("rs0", None, 0, 1), ("rs5", "A/G", 50, 1)]
+    assert got.rdd.getNumPartitions() <= 4
+    reader = alleles.AlleleReader(str(tmp_path), 16)
+    other = GreaterThan(("chrom_start",), 5)
+    assert list(reader.pushFilters([In(("refsnp_id",), ("a", "b", None)), other, EqualTo(("refsnp_id",), "b")])) == [other]
+    assert [(p.number, p.keys) for p in reader.partitions()] == [(alleles.bucket_of("b", 16), frozenset("b"))]
+
+
 def test_stored_scores(spark, tmp_path):
     scores = scoring.score(fixtures.gwas(spark, SF), fixtures.calls(spark, SF))
     kept = scoring.stored(scores, str(tmp_path))

@@ -51,11 +51,12 @@ def trait_scores(full: DataFrame) -> DataFrame:
         full.filter("trait is not null")
         .groupBy("sample_id", "trait")
         .agg(
-            F.sum("final_risk").alias("final_risk"),
+            # views colour by the sign of it
+            expr.exact_sum("final_risk").alias("final_risk"),
             # a set of two dozen at most: a distinct count would aggregate in four phases
             F.size(F.collect_set("chromosome")).cast("long").alias("n_chromosomes"),
             F.min_by("is_or", F.when(F.col("is_or").isNotNull(), F.col("row_id"))).alias("is_or"),
-            F.sum("population_score").alias("population_score"),
+            expr.exact_sum("population_score").alias("population_score"),
             expr.distinct_csv("pmid").alias("pmid"),
             expr.distinct_csv("rsid").alias("rsid"),
             F.min_by("category", F.when(F.col("category").isNotNull(), F.col("row_id"))).alias("category"),

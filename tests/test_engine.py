@@ -57,6 +57,24 @@ def test_first_of_each_trait(spark):
     assert sorted(values(full, "sample_id", "trait", "row_id", "odds_ratio", "personal_genotype")) == [(1, "T", 3, 3.0, "AA"), (1, "U", 5, -0.5, "AA")]
 
 
+def test_a_sum_near_zero_has_one_colour_in_any_order_of_the_rows(spark):
+    risks = [0.2, 1.26, -0.46, 1.3, 1.5, -3.8]
+    for turn in range(len(risks)):
+        own = risks[turn:] + risks[:turn]
+        rows = [(1, "T", x, x, "1", False, "p", f"rs{x}", "C", k) for k, x in enumerate(own)]
+        full = spark.createDataFrame(rows, "sample_id long, trait string, final_risk double, population_score double, chromosome string, is_or boolean, pmid string, rsid string, category string, row_id long").coalesce(1)
+        prs = scoring.trait_scores(full)
+        assert values(prs, "final_risk", "population_score") == [(math.fsum(risks), math.fsum(risks))]
+        assert values(views.trait_overview(prs), "colour") == [("blue",)]
+
+
+def test_exact_sum_of_odd_numbers(spark):
+    rows = [("a", 1e300), ("a", 1.0), ("b", None), ("c", None), ("c", -0.1), ("d", float("nan")), ("d", 1.0), ("e", float("-inf")), ("f", 2.0**20), ("f", -(2.0**20) + 0.5)]
+    found = spark.createDataFrame(rows, "k string, x double").groupBy("k").agg(expr.exact_sum("x").alias("s"))
+    got = dict(values(found, "k", "s"))
+    assert math.isnan(got.pop("d")) and got == {"a": 1e300, "b": None, "c": -0.1, "e": float("-inf"), "f": 0.5}
+
+
 def test_trait_score_lists(spark):
     gwas = gwas_rows(spark, [(1, "T", "rs2", True, 2.0, "A", 0.1, None, 0.0, None, "9"), (2, "T", "rs1", True, 2.0, "A", 0.1, None, 0.0, "C", "9"), (3, "T", "rs3", True, 2.0, "A", 0.1, None, 0.0, "D", "10")])
     prs = scoring.trait_scores(scoring.full_scores(gwas, call_rows(spark, [(1, "rs1", "AA"), (1, "rs2", "AG"), (1, "rs3", "GG")]))).first()

@@ -12,8 +12,11 @@
    check decide.
 4. Pairs of one shingle that are not yet in one component meet in a second round, by the same filters. So a group of
    thousands of near copies costs a link each, not all its pairs, and no link between components is missed.
+5. Components are then known, and no similar pair lies across two. Where links are asked for, the classes of a component
+   of three or more are dealt into blocks, and each two blocks meet in a task of bounded size that finds all their
+   similar pairs. The work grows as the square of a group of near copies, as its links do.
 
-Each pair is verified once. Results are exact but for collisions of 64-bit shingle hashes.
+Results are exact but for collisions of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -63,6 +66,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    f1 = blocks.mix(s ^ _U(0x1234567)).sum(dtype=np.uint64).view(np.int64)
+    f2 = blocks.mix(s + _U(0x7654321)).sum(dtype=np.uint64).view(np.int64)
+    return int(f1), int(f2)
+
+
 def measured(docs: DataFrame, order: np.ndarray, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, the fingerprint and signature of the set, and its prefix shingles, 8 bytes each, in the
     rare-first order."""
@@ -74,9 +83,7 @@ def measured(docs: DataFrame, order: np.ndarray, width: int = WIDTH) -> DataFram
         mask = _U(len(rank) - 1)
         rows, heads = [], []
         for s in _sets(batch.column(1), width):
-            f1 = blocks.mix(s ^ _U(0x1234567)).sum(dtype=np.uint64).view(np.int64)
-            f2 = blocks.mix(s + _U(0x7654321)).sum(dtype=np.uint64).view(np.int64)
-            rows.append(np.concatenate([[len(s), f1, f2], signature(s)]))
+            rows.append(np.concatenate([[len(s), *_fingerprint(s)], signature(s)]))
             first = np.argsort(rank[(s & mask).astype(np.int64)], kind="stable")[: prefix_length(len(s))]
             heads.append(s[first].astype("<u8").tobytes())
         table = np.array(rows, np.int64).reshape(-1, len(numbers))
@@ -240,10 +247,110 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
     return shared.arrow_map(both, make, "a long, b long")
 
 
+#: The most classes and shingles of a block on average; a longer document is a block of its own at worst.
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20
+#: Shared shingles that one dense step of ``shared_counts`` counts.
+STEP_SHINGLES = 4096
+
+
+def candidates(sizes: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs x of ``left`` and y of ``right`` that the length and signature filters let through; where both are the same
+    rows, each pair once."""
+    same = left is right
+    xs, ys = [], []
+    for k, x in enumerate(left):
+        other = right[k + 1 :] if same else right
+        n, m = sizes[x], sizes[other]
+        differ = np.bitwise_count(marks[other] ^ marks[x]).sum(axis=1, dtype=np.int64)
+        met = other[(5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * (n + m - differ) >= 8 * (n + m))]
+        xs.append(np.full(len(met), x))
+        ys.append(met)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(xs or none), np.concatenate(ys or none)
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair share: pair by pair, or, where that takes longer, by products of the
+    incidence of all shingles that several sets have."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    v = int(place[-1]) + 1 if len(place) else 0
+    if len(xs) * 20e-6 + float((sizes[xs] + sizes[ys]).sum()) * 40e-9 <= len(left) * len(right) * float(v) / 5e9:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    several = times[column] > 1
+    row, at = row[several], place[column[several]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    count = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24
+    for first in range(0, v, STEP_SHINGLES):
+        a, b = np.searchsorted(at, [first, first + STEP_SHINGLES])
+        dense = np.zeros((len(sets), min(STEP_SHINGLES, v - first)), np.float32)
+        dense[row[a:b], at[a:b] - first] = 1
+        count += dense[left] @ dense[right].T
+    to_left, to_right = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
+    return count[to_left[xs], to_right[ys]].astype(np.int64)
+
+
+def _met_blocks(width: int):
+    def make(key, table):
+        low, high = key[1].as_py(), key[2].as_py()
+        ids, of_block, f1, f2 = (table.column(c).to_pylist() for c in ("doc_id", "block", "f1", "f2"))
+        kept: dict[tuple, tuple] = {}  # a row of another text of its doc_id, and a repeated one, is left out
+        for k, s in enumerate(_sets(table.column("text"), width)):
+            own = (ids[k], f1[k], f2[k])
+            if own not in kept and _fingerprint(s) == own[1:]:
+                kept[own] = (of_block[k], s)
+        sets = [s for _, s in kept.values()]
+        block = np.array([b for b, _ in kept.values()], np.int64)
+        doc = np.array([own[0] for own in kept], np.int64)
+        left = np.flatnonzero(block == low)
+        right = left if low == high else np.flatnonzero(block == high)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        marks = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS).view(np.uint64)
+        xs, ys = candidates(sizes, marks, left, right)
+        found = np.zeros((0, 2), np.int64)
+        if len(xs):
+            c = shared_counts(sets, left, right, xs, ys)
+            good = similar(c, sizes[xs], sizes[ys]) & (doc[xs] != doc[ys])
+            a, b = doc[xs[good]], doc[ys[good]]
+            found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return make
+
+
+def all_links(docs: DataFrame, classes: DataFrame, near: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """All similar pairs a, b of class representatives, given verified ones that connect them and the components of
+    these. The one pair of a component of two is known."""
+    tables = shared.Tables(docs.sparkSession)
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = named.groupBy("component").agg(F.count("*").alias("g"), F.sum("n_shingles").alias("total")).filter("g > 2")
+    # of g classes a task meets 2 g / k, and each text is sent k times: both grow more slowly than g
+    k = F.ceil(F.greatest(F.sqrt("g") / 4, F.col("g") / BLOCK_CLASSES, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    members = named.join(sizes.select("component", k.alias("k")), "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    members = tables.write("shingle-members", members.select(F.col("rep").alias("doc_id"), "f1", "f2", "component", "k", "block"))
+    texts = _of_pairs(docs.filter("doc_id is not null").select("doc_id", "text"), members.selectExpr("doc_id a", "doc_id b"))
+    dealt = members.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "f1", "f2", "block", "text")
+    within = dealt.groupBy("component", "low", "high").applyInArrow(_met_blocks(width), "a long, b long")
+    pairs = near.join(members.select(F.col("doc_id").alias("a")).distinct(), "a", "left_anti").select("a", "b")
+    pairs = shared.written(pairs.union(within), "shingle-all-links")
+    tables.drop("shingle-members")
+    return pairs
+
+
 def links(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: doc_id, n_shingles, f1 and f2 of every row; the class representative of each set (n_shingles, f1,
-    f2, rep); and verified links a, b between representatives, which connect all that similarity connects. ``docs`` has
-    doc_id and text."""
+    f2, rep); and the links a, b: all similar pairs of representatives, each once. ``docs`` has doc_id and text."""
+    slim, classes, near = connected(docs, width, sketch_bits)
+    return slim, classes, all_links(docs, classes, near, components(near), width)
+
+
+def connected(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``links``, but for the links: as many verified ones as connect all that similarity connects."""
     tables = shared.Tables(docs.sparkSession)
     sets = tables.write("shingle-sets", measured(docs, rarity(docs, width, sketch_bits), width))
     key = ["n_shingles", "f1", "f2"]
@@ -283,17 +390,20 @@ def links(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) -
     return slim, classes, near.union(more)
 
 
-def join_components(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def join_components(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS, counted: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of documents.
 
-    ``n_links`` counts the verified links of the document's class to other classes. Members of a large group link to its
-    hub, not to each other, so it isn't the number of all similar documents.
+    ``n_links`` counts the links of the document's class to other classes, all of them; copies within its class aren't
+    among them. Without ``counted`` it counts only those that were needed to connect the components.
 
     A null or empty text has no shingles and is linked with nothing; a null doc_id has no component. Rows of one doc_id
     are one document: its texts' links are its own. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))
-    sets, classes, near = links(docs, width, sketch_bits)
+    sets, classes, near = connected(docs, width, sketch_bits)
+    groups = components(near)
+    if counted:
+        near = all_links(docs, classes, near, groups, width)
     key = ["n_shingles", "f1", "f2"]
 
     # documents of several texts link the classes of these
@@ -301,7 +411,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKET
     several = own.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high").select("a")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     own = own.join(several, "a").union(reps.join(several.withColumnRenamed("a", "doc_id"), "doc_id").selectExpr("doc_id a", "doc_id b"))
-    final = components(near.union(own))
+    final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(own))
 
     # what classes know is joined to them first: a class may have a third of all rows
     degree = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -317,7 +427,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The document of least id of each component, with all its columns; of rows that repeat it, one stays. Documents
     without id all stay. An empty table gives none."""
     tables = shared.Tables(docs.sparkSession)
-    found = tables.write("shingle-components", join_components(docs, width).select("doc_id", "component_id"))
+    found = tables.write("shingle-components", join_components(docs, width, counted=False).select("doc_id", "component_id"))
     gone = shared.written(found.filter("component_id < doc_id").select("doc_id").distinct(), "shingle-gone")
     again = shared.written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shingle-again")
     tables.drop("shingle-components")

@@ -112,6 +112,40 @@ def test_links_join_only_similar_texts_and_are_counted(spark):
         assert own[i] == (sum(rep in p for p in near) if s else 0)
 
 
+def test_links_are_all_similar_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"v{rnd.randrange(500)}" for _ in range(150)]
+    rows = variants(6, groups=6) + [(2000 + k, " ".join([*base[: 3 * k], f"new{k}", *base[3 * k + 1 :]])) for k in range(40)]
+    rows += [(3000, rows[-1][1]), (3001, rows[-2][1]), (3001, rows[-3][1]), (3001, rows[-3][1])]
+    sets = {}
+    for i, t in rows:
+        s = frozenset(shingle_set(t))
+        sets[s] = min(i, sets.get(s, i))
+    want = {frozenset((sets[x], sets[y])) for x, y in itertools.combinations(sets, 2) if x and y and 100 * len(x & y) >= 80 * len(x | y)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(want) > 700
+    for most in (2048, 7):
+        monkeypatch.setattr(shingle_join, "BLOCK_CLASSES", most)
+        near = [tuple(r) for r in shingle_join.links(docs, sketch_bits=16)[2].collect()]
+        assert len(near) == len(want) and set(map(frozenset, near)) == want
+    own = {r.doc_id: r.n_links for r in shingle_join.join_components(docs, sketch_bits=16).collect() if r.doc_id != 3001}
+    for i, t in rows:
+        if i in own and t:
+            assert own[i] == sum(sets[frozenset(shingle_set(t))] in p for p in want)
+
+
+def test_shared_counts_both_ways():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for width, n in ((80, 60), (50_000, 12)):  # crowded sets by products, sparse ones pair by pair
+        sets = [np.unique(rnd.integers(0, width, 60).astype(np.uint64)) for _ in range(n)]
+        left, right = np.arange(0, n, 2), np.arange(1, n, 2)
+        xs, ys = (x.ravel() for x in np.meshgrid(left, right))
+        got = shingle_join.shared_counts(sets, left, right, xs, ys)
+        assert got.tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(xs, ys, strict=True)]
+
+
 def test_signatures_never_lose():
     import numpy as np
 

@@ -29,7 +29,7 @@ def matched(gwas: DataFrame, calls: DataFrame) -> DataFrame:
     first = gwas.filter("rsid is not null").groupBy("rsid", "trait").agg(F.min_by(F.struct(*columns), "row_id").alias("g"))
     catalogue = first.select("rsid", "trait", *[F.col(f"g.{c}").alias(c) for c in columns])
     order = F.struct(F.col("position").isNull(), "position", "chromosome", "genotype")
-    own = calls.filter("rsid is not null").groupBy("sample_id", "rsid").agg(F.min_by(F.struct("chromosome", "position", "genotype"), order).alias("c"))
+    own = calls.filter("rsid is not null").repartition("sample_id").groupBy("sample_id", "rsid").agg(F.min_by(F.struct("chromosome", "position", "genotype"), order).alias("c"))
     own = own.select("sample_id", "rsid", F.col("c.chromosome").alias("chromosome"), F.col("c.position").alias("position"), F.col("c.genotype").alias("personal_genotype"))
     return own.join(catalogue, "rsid")
 
@@ -47,8 +47,13 @@ def full_scores(gwas: DataFrame, calls: DataFrame) -> DataFrame:
 
 def trait_scores(full: DataFrame) -> DataFrame:
     """PRS: one row for each sample and trait. Lists are sorted; "first" is by row_id, nulls skipped."""
+    # rows go to their samples as they are: lists and sets of the map tasks' groups, which hold a row or two each where
+    # the catalogue is shuffled by rsid, take several times the disk
+    kept = ["sample_id", "trait", "row_id", "final_risk", "population_score", "is_or", "category", "pmid", "rsid", "chromosome"]
     return (
         full.filter("trait is not null")
+        .select(*kept)
+        .repartition("sample_id")
         .groupBy("sample_id", "trait")
         .agg(
             # views colour by the sign of it

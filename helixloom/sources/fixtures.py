@@ -84,7 +84,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("l_quantity").cast("int") % 3 == 0, risk).otherwise(other)
     second = F.when(F.col("l_returnflag") == "A", risk).otherwise(other)
     rows = items.select(F.col("l_suppkey").cast("long").alias("sample_id"), k.alias("k"), F.when(F.col("l_linenumber") == 7, "--").otherwise(F.concat(first, second)).alias("genotype"))
-    one = rows.groupBy("sample_id", "k").agg(F.max("genotype").alias("genotype"))
+    # dealt by sample alone, which serves what is grouped by sample and variant or trait later
+    one = rows.repartition("sample_id").groupBy("sample_id", "k").agg(F.max("genotype").alias("genotype"))
     return one.select("sample_id", _rsid(F.col("k")).alias("rsid"), (F.col("k") % 22 + 1).cast("string").alias("chromosome"), (F.col("k") * 1000).alias("position"), "genotype")
 
 

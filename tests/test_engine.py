@@ -75,6 +75,23 @@ def test_exact_sum_of_odd_numbers(spark):
     assert math.isnan(got.pop("d")) and got == {"a": 1e300, "b": None, "c": -0.1, "e": float("-inf"), "f": 0.5}
 
 
+def test_trait_lists_are_made_after_the_rows_are_dealt(spark):
+    """No list or set of a map task's part of a trait is shuffled."""
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        plan = scoring.trait_scores(scoring.full_scores(fixtures.gwas(spark, SF), fixtures.calls(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lines = plan.splitlines()
+    sets = [k for k, line in enumerate(lines) if "Aggregate" in line and "collect_set" in line]
+    dealt = next(k for k, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert len(sets) == 2 and max(sets) < dealt
+
+
 def test_trait_score_lists(spark):
     gwas = gwas_rows(spark, [(1, "T", "rs2", True, 2.0, "A", 0.1, None, 0.0, None, "9"), (2, "T", "rs1", True, 2.0, "A", 0.1, None, 0.0, "C", "9"), (3, "T", "rs3", True, 2.0, "A", 0.1, None, 0.0, "D", "10")])
     prs = scoring.trait_scores(scoring.full_scores(gwas, call_rows(spark, [(1, "rs1", "AA"), (1, "rs2", "AG"), (1, "rs3", "GG")]))).first()

@@ -14,7 +14,9 @@
    thousands of near copies costs a link each, not all its pairs, and no link between components is missed.
 5. Components are then known, and no similar pair lies across two. Where links are asked for, the classes of a component
    of three or more are dealt into blocks, and each two blocks meet in a task of bounded size that finds all their
-   similar pairs. The work grows as the square of a group of near copies, as its links do.
+   similar pairs. Where only their number is asked for, a task gives a count a class and no pair. The comparisons grow
+   as the square of a group of near copies, as its links do. The texts dealt and the counts grow as its power 1.5 until
+   blocks have their greatest size, of 2,048 classes or 2^20 shingles; from there as its square over that size.
 
 Results are exact but for collisions of 64-bit shingle hashes.
 """
@@ -294,38 +296,56 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, x
     return count[to_left[xs], to_right[ys]].astype(np.int64)
 
 
-def _met_blocks(width: int):
+def _pairs_of_blocks(key, table: pa.Table, width: int) -> np.ndarray:
+    """All similar pairs, greater id first, between two blocks or within one, each once."""
+    low, high = key[1].as_py(), key[2].as_py()
+    ids, of_block, f1, f2 = (table.column(c).to_pylist() for c in ("doc_id", "block", "f1", "f2"))
+    kept: dict[tuple, tuple] = {}  # a row of another text of its doc_id, and a repeated one, is left out
+    for k, s in enumerate(_sets(table.column("text"), width)):
+        own = (ids[k], f1[k], f2[k])
+        if own not in kept and _fingerprint(s) == own[1:]:
+            kept[own] = (of_block[k], s)
+    sets = [s for _, s in kept.values()]
+    block = np.array([b for b, _ in kept.values()], np.int64)
+    doc = np.array([own[0] for own in kept], np.int64)
+    left = np.flatnonzero(block == low)
+    right = left if low == high else np.flatnonzero(block == high)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    marks = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS).view(np.uint64)
+    xs, ys = candidates(sizes, marks, left, right)
+    if not len(xs):
+        return np.zeros((0, 2), np.int64)
+    c = shared_counts(sets, left, right, xs, ys)
+    good = similar(c, sizes[xs], sizes[ys]) & (doc[xs] != doc[ys])
+    known, place = np.unique(doc, return_inverse=True)
+    a, b = place[xs[good]], place[ys[good]]
+    once = np.unique(np.maximum(a, b) * len(known) + np.minimum(a, b))
+    return np.stack([known[once // len(known)], known[once % len(known)]], axis=1)
+
+
+def _links_of_blocks(width: int):
+    """The pairs themselves: as many rows as links."""
+
     def make(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        ids, of_block, f1, f2 = (table.column(c).to_pylist() for c in ("doc_id", "block", "f1", "f2"))
-        kept: dict[tuple, tuple] = {}  # a row of another text of its doc_id, and a repeated one, is left out
-        for k, s in enumerate(_sets(table.column("text"), width)):
-            own = (ids[k], f1[k], f2[k])
-            if own not in kept and _fingerprint(s) == own[1:]:
-                kept[own] = (of_block[k], s)
-        sets = [s for _, s in kept.values()]
-        block = np.array([b for b, _ in kept.values()], np.int64)
-        doc = np.array([own[0] for own in kept], np.int64)
-        left = np.flatnonzero(block == low)
-        right = left if low == high else np.flatnonzero(block == high)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        marks = np.array([signature(s) for s in sets], np.int64).reshape(-1, WORDS).view(np.uint64)
-        xs, ys = candidates(sizes, marks, left, right)
-        found = np.zeros((0, 2), np.int64)
-        if len(xs):
-            c = shared_counts(sets, left, right, xs, ys)
-            good = similar(c, sizes[xs], sizes[ys]) & (doc[xs] != doc[ys])
-            a, b = doc[xs[good]], doc[ys[good]]
-            found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        found = _pairs_of_blocks(key, table, width)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     return make
 
 
-def all_links(docs: DataFrame, classes: DataFrame, near: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All similar pairs a, b of class representatives, given verified ones that connect them and the components of
-    these. The one pair of a component of two is known."""
-    tables = shared.Tables(docs.sparkSession)
+def _counts_of_blocks(width: int):
+    """How many of the pairs each document is in: a row a document at most."""
+
+    def make(key, table):
+        node, n = np.unique(_pairs_of_blocks(key, table, width), return_counts=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return make
+
+
+def _dealt(docs: DataFrame, classes: DataFrame, found: DataFrame, tables: shared.Tables) -> tuple[DataFrame, DataFrame]:
+    """The classes of components of three or more, and their texts, dealt to each two blocks that they meet in. A pair
+    of classes meets in one two blocks alone."""
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = named.groupBy("component").agg(F.count("*").alias("g"), F.sum("n_shingles").alias("total")).filter("g > 2")
     # of g classes a task meets 2 g / k, and each text is sent k times: both grow more slowly than g
@@ -334,14 +354,38 @@ def all_links(docs: DataFrame, classes: DataFrame, near: DataFrame, found: DataF
     members = tables.write("shingle-members", members.select(F.col("rep").alias("doc_id"), "f1", "f2", "component", "k", "block"))
     texts = _of_pairs(docs.filter("doc_id is not null").select("doc_id", "text"), members.selectExpr("doc_id a", "doc_id b"))
     dealt = members.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "f1", "f2", "block", "text")
-    within = dealt.groupBy("component", "low", "high").applyInArrow(_met_blocks(width), "a long, b long")
-    pairs = near.join(members.select(F.col("doc_id").alias("a")).distinct(), "a", "left_anti").select("a", "b")
-    pairs = shared.written(pairs.union(within), "shingle-all-links")
+    return members, dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "f1", "f2", "block", "text")
+
+
+def _of_two(near: DataFrame, members: DataFrame) -> DataFrame:
+    """The one pair of each component of two; verified once for each text of a repeated doc_id."""
+    return near.join(members.select(F.col("doc_id").alias("a")).distinct(), "a", "left_anti").select("a", "b").distinct()
+
+
+def all_links(docs: DataFrame, classes: DataFrame, near: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """All similar pairs a, b of class representatives, given verified ones that connect them and the components of
+    these. The one pair of a component of two is known. The table has as many rows as there are links."""
+    tables = shared.Tables(docs.sparkSession)
+    members, dealt = _dealt(docs, classes, found, tables)
+    within = dealt.groupBy("component", "low", "high").applyInArrow(_links_of_blocks(width), "a long, b long")
+    pairs = shared.written(_of_two(near, members).union(within), "shingle-all-links")
     tables.drop("shingle-members")
     return pairs
 
 
+def degrees(docs: DataFrame, classes: DataFrame, near: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node and n_links: of each representative that has links, how many rows of ``all_links`` it is in. Each two blocks
+    count their own, so no pair leaves its task."""
+    tables = shared.Tables(docs.sparkSession)
+    members, dealt = _dealt(docs, classes, found, tables)
+    within = dealt.groupBy("component", "low", "high").applyInArrow(_counts_of_blocks(width), "node long, n long")
+    two = _of_two(near, members)
+    each = two.selectExpr("a node", "1L n").union(two.selectExpr("b node", "1L n")).union(within)
+    counts = shared.written(each.groupBy("node").agg(F.sum("n").alias("n_links")), "shingle-degrees")
+    tables.drop("shingle-members")
+    return counts
+
+
 def links(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: doc_id, n_shingles, f1 and f2 of every row; the class representative of each set (n_shingles, f1,
     f2, rep); and the links a, b: all similar pairs of representatives, each once. ``docs`` has doc_id and text."""
@@ -403,7 +447,9 @@ def join_components(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKET
     sets, classes, near = connected(docs, width, sketch_bits)
     groups = components(near)
     if counted:
-        near = all_links(docs, classes, near, groups, width)
+        degree = degrees(docs, classes, near, groups, width)
+    else:
+        degree = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     key = ["n_shingles", "f1", "f2"]
 
     # documents of several texts link the classes of these
@@ -414,7 +460,6 @@ def join_components(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKET
     final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(own))
 
     # what classes know is joined to them first: a class may have a third of all rows
-    degree = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     told = classes.withColumnRenamed("rep", "node").join(final, "node", "left").join(degree, "node", "left")
     told = shared.written(told.select(*key, F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "shingle-classes")
     some = F.col("n_shingles") > 0

@@ -134,6 +134,39 @@ def test_links_are_all_similar_pairs(spark, monkeypatch):
             assert own[i] == sum(sets[frozenset(shingle_set(t))] in p for p in want)
 
 
+def test_counted_links_make_no_row_a_pair(spark, monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    base = [f"v{rnd.randrange(5000)}" for _ in range(150)]
+    rows = [(k, " ".join([*base[:k], f"new{k}", *base[k + 1 :]])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wrote, write = {}, shingle_join.shared.Tables.write
+
+    def counting(self, name, df):
+        table = write(self, name, df)
+        wrote[name] = table.count()
+        return table
+
+    monkeypatch.setattr(shingle_join.shared.Tables, "write", counting)
+    table = shingle_join.join_components(docs, sketch_bits=16).collect()
+    assert [(r.component_id, r.n_links) for r in table] == [(0, 119)] * 120
+    assert max(wrote.values()) < 120 * 119 / 2, wrote
+    marked = [shingle_join._fingerprint(s) for s in shingle_join._sets(pa.array([t for _, t in rows]), 5)]
+    block = pa.table({"doc_id": [i for i, _ in rows], "f1": [f for f, _ in marked], "f2": [f for _, f in marked], "block": [0] * 120, "text": [t for _, t in rows]})
+    made = shingle_join._counts_of_blocks(5)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), block)
+    assert made.to_pydict() == {"node": list(range(120)), "n": [119] * 120}
+
+
+def test_a_repeated_row_is_one_link(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, other = " ".join(words), " ".join([*words[:-1], "end"])
+    rows = [(1, one), (2, other), (2, other), (2, other.upper()), (7, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in shingle_join.join_components(docs, sketch_bits=16).collect()} == {(i, 56, 1, 1) for i in (1, 2, 7)}
+    assert [tuple(r) for r in shingle_join.links(docs, sketch_bits=16)[2].collect()] == [(2, 1)]
+
+
 def test_shared_counts_both_ways():
     import numpy as np
 
